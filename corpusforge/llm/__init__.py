@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["token_output"]
+MODULES = ["token_output", "packing"]
 
 
 def queries() -> dict:

@@ -54,12 +54,46 @@ class UnitEncoder:
         self.known: dict[tuple[int, int], int] = {}
         self.ids: list[list[int]] = []
 
+    def counts(self, col: pa.Array) -> np.ndarray:
+        """The number of ids of each row."""
+        found = self._units(col)
+        if found is None:
+            return np.zeros(len(col), np.int64)
+        begin, rows, parts, inverse = found
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        stop = np.concatenate([[0], np.cumsum(length[inverse])])
+        n = np.diff(stop[np.searchsorted(begin, rows)])
+        for i in np.flatnonzero(_wide(col)):
+            n[i] = len(self.encode(col[int(i)].as_py()))
+        return n
+
     def batch(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of each row's ids)."""
+        found = self._units(col)
+        if found is None:
+            return np.zeros(0, np.uint32), np.zeros(len(col) + 1, np.int64)
+        begin, rows, parts, inverse = found
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter((x for p in parts for x in p), np.uint32, int(length.sum()))
+        offset = np.cumsum(length) - length
+        size = length[inverse]
+        stop = np.cumsum(size)
+        out = flat[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - offset[inverse], size)]
+        edge = np.concatenate([[0], stop])[np.searchsorted(begin, rows)]
+        wide = _wide(col)
+        if wide.any():
+            pieces = [out[edge[i] : edge[i + 1]] for i in range(len(col))]
+            for i in np.flatnonzero(wide):
+                pieces[i] = np.array(self.encode(col[int(i)].as_py()), np.uint32)
+            out = np.concatenate(pieces)
+            edge = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        return out, edge
+
+    def _units(self, col: pa.Array):
+        """Begins of units, rows' offsets, ids of distinct units, each unit's number."""
         raw, rows = text_buffer(col)
-        n = len(rows) - 1
         if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+            return None
         space = _IS_SPACE[raw]
         # a unit starts where white space follows a word, and with each row
         start = np.concatenate([[True], space[1:] & ~space[:-1]])
@@ -85,21 +119,11 @@ class UnitEncoder:
                 ids.append(encode(data[begin[i] : end[i]].decode("utf-8")))
             slot[k] = at
         parts = [ids[s] for s in slot.tolist()]
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((x for p in parts for x in p), np.uint32, int(length.sum()))
-        offset = np.cumsum(length) - length
-        size = length[inverse]
-        stop = np.cumsum(size)
-        out = flat[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - offset[inverse], size)]
-        edge = np.concatenate([[0], stop])[np.searchsorted(begin, rows)]
-        wide = pc.match_substring_regex(col, _WIDE).fill_null(False).to_numpy(zero_copy_only=False)
-        if wide.any():
-            pieces = [out[edge[i] : edge[i + 1]] for i in range(n)]
-            for i in np.flatnonzero(wide):
-                pieces[i] = np.array(encode(col[int(i)].as_py()), np.uint32)
-            out = np.concatenate(pieces)
-            edge = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        return out, edge
+        return begin, rows, parts, inverse
+
+
+def _wide(col: pa.Array) -> np.ndarray:
+    return pc.match_substring_regex(col, _WIDE).fill_null(False).to_numpy(zero_copy_only=False)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
