@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,25 @@ def tree_sum(df: DataFrame, keys: list[str], **sums: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of about `limit` bytes in column `at`.
+
+    Bounds what the arrays over a piece take, whatever the batch size; a row
+    beyond the limit is a piece of its own.
+    """
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        col = b.column(at)
+        size = np.frombuffer(col.buffers()[1], np.int32, count=len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, size[start] + limit, side="right")) - 1)
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 # --- words of an Arrow column -------------------------------------------------
 
 _IS_SPACE = np.zeros(256, dtype=bool)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import materialise, slices, table
 from .token_output import VOCAB_FILE, UnitEncoder
 
 CAPACITY = 2048
@@ -132,7 +132,7 @@ def token_lengths(docs: DataFrame, vocab_file: str = VOCAB_FILE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder(vocab_file)
-        for b in batches:
+        for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder.counts(b.column(1)))], names=["doc_id", "n_tokens"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long"

@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _IS_SPACE, hash_spans, materialise, table, text_buffer
+from ._common import _IS_SPACE, hash_spans, materialise, slices, table, text_buffer
 
 VOCAB_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries after which a worker's unit cache starts anew (memory only).
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 #: White space beyond ASCII can join units; such texts are encoded whole.
 _WIDE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -175,7 +175,7 @@ def _binary(raw: np.ndarray, edge: np.ndarray) -> pa.Array:
 def _tokenise(vocab_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder(vocab_file)
-        for b in batches:
+        for b in slices(batches, 1):
             ids, edge = encoder.batch(b.column(1))
             wide = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
             width = wide.dtype.itemsize
@@ -202,7 +202,7 @@ def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for b in batches:
+    for b in slices(batches, 2):
         c = np.bincount(_ids(b)[0])
         if len(c) > len(total):
             total, c = c.astype(np.int64), total
@@ -213,7 +213,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _write(rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             ids, edge = _ids(b)
             control, data, control_at, data_at = pack_rows(rank[ids], edge)
             yield pa.RecordBatch.from_arrays(
