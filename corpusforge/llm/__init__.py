@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["token_output", "packing"]
+MODULES = ["token_output", "packing", "quality"]
 
 
 def queries() -> dict:
