@@ -54,6 +54,10 @@ class UnitEncoder:
         self.known: dict[tuple[int, int], int] = {}
         self.ids: list[list[int]] = []
 
+    def unit_counts(self, units: list[str]) -> list[int]:
+        """The number of ids of each unit, encoded apart."""
+        return [len(self.encode(u)) for u in units]
+
     def counts(self, col: pa.Array) -> np.ndarray:
         """The number of ids of each row."""
         found = self._units(col)
