@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["token_output", "packing", "quality", "token_counts"]
+MODULES = ["token_output", "packing", "quality", "token_counts", "licenses"]
 
 
 def queries() -> dict:
