@@ -99,10 +99,18 @@ def repeated_texts(texts: DataFrame, counts: DataFrame, words: int, seed: int) -
         .groupBy("tid")
         .agg(F.collect_set("at").alias("at"))
     )
-    first = counts.groupBy("tid").agg(F.min(F.struct("doc_id")).alias("first")).select(F.col("tid").alias("t"), F.col("first.doc_id").alias("d"))
-    # one row of each text; a join by the id alone sends a text only where it is needed
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    first = counts.groupBy(F.col("tid").alias("t")).agg(F.min(key).alias("d"))
+    # one row of each text; the second key spreads the rows of hot texts
     wanted = live.join(first, live.tid == first.t).select("t", "d", "at")
-    one = texts.join(wanted, (texts.tid == wanted.t) & texts.doc_id.eqNullSafe(wanted.d)).select("tid", "text", "at")
+    rows = texts.select("tid", "text", key.alias("key"))
+    alike = Window.partitionBy("tid", "key").orderBy("tid")
+    one = (
+        rows.join(wanted, (rows.tid == wanted.t) & (rows.key == wanted.d))
+        .withColumn("nth", F.row_number().over(alike))
+        .filter("nth = 1")
+        .select("tid", "text", "at")
+    )
     return materialise(one, "repeated-texts")
 
 
