@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["token_output", "packing", "quality", "token_counts", "licenses", "secrets", "decontaminate", "suffix_array", "suffix_trees"]
+MODULES = ["token_output", "packing", "quality", "token_counts", "licenses", "secrets", "decontaminate", "suffix_array", "suffix_trees", "near_dedup"]
 
 
 def queries() -> dict:

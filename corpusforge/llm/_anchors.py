@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, materialise, slices, window_names
+from ._common import Words, materialise, may_hold, sieve, slices, window_names
 
 #: Repeats of fewer words are let stand; the anchors' length.
 MIN_WORDS, SEED_WORDS = 50, 25
@@ -99,19 +99,23 @@ def repeated_texts(texts: DataFrame, counts: DataFrame, words: int, seed: int) -
         .groupBy("tid")
         .agg(F.collect_set("at").alias("at"))
     )
+    return materialise(one_of_each(texts, counts, live), "repeated-texts")
+
+
+def one_of_each(texts: DataFrame, counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (a tid a row, further columns) with the text of each tid, once.
+
+    A sieve of fixed size keeps most other texts out of the join; a second key
+    spreads the rows of hot texts.
+    """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     first = counts.groupBy(F.col("tid").alias("t")).agg(F.min(key).alias("d"))
-    # one row of each text; the second key spreads the rows of hot texts
-    wanted = live.join(first, live.tid == first.t).select("t", "d", "at")
-    rows = texts.select("tid", "text", key.alias("key"))
+    more = [c for c in wanted.columns if c != "tid"]
+    wanted = materialise(wanted.join(first, wanted.tid == first.t).select("t", "d", *more), "wanted")
+    rows = sieve(texts.select("tid", "text", key.alias("key")), "tid", may_hold(wanted, "t"))
     alike = Window.partitionBy("tid", "key").orderBy("tid")
-    one = (
-        rows.join(wanted, (rows.tid == wanted.t) & (rows.key == wanted.d))
-        .withColumn("nth", F.row_number().over(alike))
-        .filter("nth = 1")
-        .select("tid", "text", "at")
-    )
-    return materialise(one, "repeated-texts")
+    joined = rows.join(wanted, (rows.tid == wanted.t) & (rows.key == wanted.d))
+    return joined.withColumn("nth", F.row_number().over(alike)).filter("nth = 1").select("tid", "text", *more)
 
 
 def near_anchors(w: Words, at: pa.ListArray, words: int, seed: int, length: int | None = None) -> np.ndarray:

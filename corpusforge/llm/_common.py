@@ -92,6 +92,46 @@ def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = 4 << 20) ->
             start = stop
 
 
+def may_hold(keys: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+    """A bit map of hashed keys of fixed size (8 MB), for sieves before a join.
+
+    Of 2**bits hash values, those that some key has are marked. More keys let
+    more rows pass the sieve, and never fewer; the join decides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = np.zeros(1 << bits, bool)
+        for b in batches:
+            mark[slot(b.column(0).to_numpy(), bits)] = True
+        words = np.packbits(mark, bitorder="little").view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["word", "bits"])
+
+    found = keys.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return words.view(np.uint8)
+
+
+def slot(key: np.ndarray, bits: int = 26) -> np.ndarray:
+    return (mix(key.astype(np.int64).view(np.uint64) * _M1) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sieve(df: DataFrame, column: str, bitmap: np.ndarray, marked_ones: bool = True) -> DataFrame:
+    """The rows of df whose key may be marked in the bit map, or all others."""
+    at = df.columns.index(column)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.value
+        for b in batches:
+            k = slot(b.column(at).to_numpy())
+            hit = (marked[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(hit == marked_ones))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # --- words of an Arrow column -------------------------------------------------
 
 _IS_SPACE = np.zeros(256, dtype=bool)
