@@ -88,5 +88,5 @@ def readable_paths(paths: Column | str) -> Column:
     `A / B`, blank elements dropped."""
     paths = F.col(paths) if isinstance(paths, str) else paths
     whole = F.filter(F.split(paths, " "), lambda p: p != "")
-    named = F.transform(whole, lambda p: F.array_join(F.transform(F.filter(F.split(p, "/"), lambda e: F.trim(e) != ""), human_readable), " / "))
+    named = F.transform(whole, lambda p: F.array_join(F.transform(F.filter(F.split(p, "/"), lambda e: F.trim(e) != ""), lambda e: human_readable(e)), " / "))
     return F.array_sort(F.array_distinct(named))
