@@ -9,7 +9,8 @@ equal suffixes) with their children (by the next word) and their left words. A
 node with one left word only goes on at the node of the suffix one word longer
 to the left, one with one child only at its suffix link; so repeats are followed
 from node to node, and end where left or right words differ: there they are
-maximal.
+maximal. A run of words with more places than fit has its node found by sorts
+that spill to disk.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ class Prefixes:
     def __init__(self) -> None:
         self.nodes: list[np.ndarray] = [np.full(1 << _BITS, -1, np.int64)]
         self.groups = 0
+        #: Groups of one run that no prefix can split and that do not fit.
+        self.large: list[int] = []
 
     def walk(self, names: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(group or -1, node reached) of suffixes, whose buckets by level are given."""
@@ -107,6 +110,8 @@ def split_prefixes(one: DataFrame, words: int, seed: int, most: int = GROUP_SUFF
                     trie.groups, held = trie.groups + 1, 0
                 trie.nodes[k][bucket] = trie.groups - 1
                 held += n
+                if n > most:
+                    trie.large.append(trie.groups - 1)
         todo = fresh
         if not todo:
             break
@@ -173,6 +178,23 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _large_nodes(suffixes: DataFrame) -> DataFrame:
+    """_nodes() of groups that do not fit in memory: by sorts that spill."""
+    right, left = F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("beside", 32)
+    node, child = Window.partitionBy("name"), Window.partitionBy("name", "right")
+    rows = suffixes.withColumns({"right": right, "left": left})
+    at_node = {"t0": F.min("tid"), "t1": F.max("tid"), "l0": F.min("left"), "l1": F.max("left"), "r0": F.min("right"), "r1": F.max("right"), "n": F.count("*")}
+    at_child = {"c0": F.min("tid"), "c1": F.max("tid"), "m": F.count("*")}
+    rows = rows.withColumns({k: f.over(node) for k, f in at_node.items()} | {k: f.over(child) for k, f in at_child.items()})
+    begins, ends = (F.col("l0") != F.col("l1")) | (F.col("l0") == 0), (F.col("r0") != F.col("r1")) | (F.col("r0") == 0)
+    goes = ends & (F.col("c0") < F.col("c1")) & (F.col("right") != 0)
+    flags = begins.cast("int") + F.lit(2) * ends.cast("int") + F.lit(4) * goes.cast("int")
+    kept = rows.filter((F.col("t0") < F.col("t1")) & (begins | ends))
+    return kept.select(
+        "tid", "at", flags.cast("byte").alias("flags"), F.col("name").alias("id"), F.col("n").cast("int").alias("n"), F.xxhash64("name", "right").alias("next_id"), F.col("m").cast("int").alias("next_n")
+    )
+
+
 def _follow(words: int):
     """From a text's nodes to its repeats; rows come sorted by text and place."""
 
@@ -238,7 +260,11 @@ def maximal_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WO
     one = repeated_texts(texts, counts, words, seed)
     trie = split_prefixes(one, words, seed, most)
     suffixes = one.mapInArrow(_emit(words, seed, trie), "group int, name long, tid long, at int, beside long")
-    nodes = suffixes.repartitionById(max(trie.groups, 1), "group").mapInArrow(_nodes, "tid long, at int, flags byte, id long, n int, next_id long, next_n int")
+    large = F.col("group").isin(trie.large)
+    fits = suffixes.filter(~large) if trie.large else suffixes
+    nodes = fits.repartitionById(max(trie.groups, 1), "group").mapInArrow(_nodes, "tid long, at int, flags byte, id long, n int, next_id long, next_n int")
+    if trie.large:
+        nodes = nodes.unionByName(_large_nodes(suffixes.filter(large)))
     spans = nodes.repartition("tid").sortWithinPartitions("tid", "at").mapInArrow(_follow(words), "tid long, begin_word long, n_words long, repeat_id long, n_occurrences long")
     rows = counts.filter(F.col("n_words") >= words).distinct()
     inner = spans.join(rows.select("doc_id", "tid"), "tid")

@@ -1,28 +1,3 @@
-"""Runs a registered query beside its SQL over one of the driver's folders."""
+from ..oracle import same_rows, views
 
-import os
-from collections import Counter
-
-import duckdb
-
-
-def views(sf_dir):
-    db = duckdb.connect()
-    for name in os.listdir(sf_dir):
-        path = f"{sf_dir}/{name}" + ("/*.parquet" if os.path.isdir(f"{sf_dir}/{name}") else "")
-        db.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{path}'")
-    return db
-
-
-def same_rows(df, sql, sf_dir):
-    got = df.toPandas()
-    want = views(sf_dir).execute(sql).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    names = sorted(got.columns)
-
-    def rows(p):
-        return Counter(tuple(str(v) for v in r) for r in p[names].itertuples(index=False))
-
-    a, b = rows(got), rows(want)
-    assert a == b, (list((a - b).items())[:5], list((b - a).items())[:5], len(got), len(want))
-    return len(got)
+__all__ = ["same_rows", "views"]

@@ -59,3 +59,13 @@ def test_against_sql(spark):
 
 def test_empty_table(spark):
     assert S.maximal_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_that_do_not_fit_are_found_too(spark):
+    rows = [(i, "own%d " % i * (i % 3) + "a b c d e f g h " + ("x y z" if i % 2 else "z y x w")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = S.with_tid(docs)
+    one = S.repeated_texts(texts, S.word_counts(texts), 8, 4)
+    assert S.split_prefixes(one, 8, 4, 10).large and not S.split_prefixes(one, 8, 4, 1000).large
+    got = [sorted((str(r["doc_id"]), r["begin_word"], r["n_words"], r["n_occurrences"]) for r in S.maximal_repeats(docs, 8, 4, most).collect()) for most in (10, 1000)]
+    assert got[0] == got[1] == repeats(rows, 8)

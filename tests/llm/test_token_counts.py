@@ -52,3 +52,22 @@ def test_own_edits_with_nulls_and_overlap(spark):
     )
     r = C.edited_counts(docs).collect()[0]
     assert r["n_edits"] == 2 and r["n_tokens_after"] == len(_encoding(VOCAB_FILE).encode_ordinary("x three"))
+
+
+def test_state_goes_on_from_batch_to_batch(spark):
+    rows = [(1, "one two three"), (2, None), (3, "far away from any edit"), (4, "wide\u3000space here")]
+    state = C.build_trees(spark.createDataFrame(rows, "doc_id long, text string"))
+    enc = _encoding(VOCAB_FILE).encode_ordinary
+    plain = dict(rows)
+    for begin, end, new in ((0, 3, "1"), (5, 5, "\n  more"), (2, 9, "")):
+        edits = spark.createDataFrame([(d, [(begin, end, new)]) for d in (1, 2, 4)], f"doc_id long, edits {C.EDITS}")
+        state = C.apply_edits(state.select("doc_id", "text", "n_tokens", "tree").join(edits, "doc_id", "left"))
+        for d in (1, 2, 4):
+            t = plain[d] or ""
+            plain[d] = t[:begin] + new + t[max(begin, end) :] if begin <= len(t) else t + new
+        got = {r["doc_id"]: r for r in state.collect()}
+        assert {d: r["text"] for d, r in got.items()} == plain
+        for d, r in got.items():
+            t = plain[d] or ""
+            leaves = C._loaded(r["tree"])
+            assert r["n_tokens"] == len(enc(t)) == leaves[:, 1].sum() and leaves[:, 0].sum() == len(t)
