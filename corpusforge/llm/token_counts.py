@@ -11,7 +11,7 @@ the way up from the changed leaves.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import slices, table
-from .token_output import VOCAB_FILE, UnitEncoder
+from .token_output import VOCAB_FILE, UnitEncoder, pack_rows, unpack
 
 #: Units: the same cut as UnitEncoder makes; the first may lack white space.
 _UNIT = re.compile(r"[ \t\n\r\f\x0b]*[^ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+")
@@ -98,9 +98,9 @@ class SegmentTree:
 class CountedText:
     """A text with its tree; edit() keeps the number of tokens right."""
 
-    def __init__(self, text: str, encoder: UnitEncoder) -> None:
+    def __init__(self, text: str, encoder: UnitEncoder, leaves: np.ndarray | None = None) -> None:
         self.encoder, self.text, self.reencoded = encoder, text, 0
-        self.tree = SegmentTree(self._leaves(text))
+        self.tree = SegmentTree(self._leaves(text) if leaves is None else leaves)
 
     def _leaves(self, part: str) -> np.ndarray:
         if not part:
@@ -146,34 +146,111 @@ class CountedText:
 EDITS = "array<struct<begin:int,end:int,new:string>>"
 
 
-def edited_counts(docs: DataFrame, edits: str = "edits", vocab_file: str = VOCAB_FILE) -> DataFrame:
-    """Counts before and after the edits of each document.
+def _stored(leaves: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Trees as binaries: number of values, control bytes, data bytes."""
+    control, data, c, d = pack_rows(leaves.ravel().astype(np.uint32), edge * 2)
+    parts = [
+        np.array([2 * (edge[i + 1] - edge[i])], "<u4").tobytes() + control[c[i] : c[i + 1]].tobytes() + data[d[i] : d[i + 1]].tobytes()
+        for i in range(len(edge) - 1)
+    ]
+    return pa.array(parts, pa.binary())
+
+
+def _loaded(tree: bytes) -> np.ndarray:
+    n = int(np.frombuffer(tree[:4], "<u4")[0])
+    split = 4 + -(-n // 4)
+    return unpack(tree[4:split], tree[split:], n).reshape(-1, 2).astype(np.int64)
 
-    `edits` names a column of that array type: spans of characters of the text
-    as it is before any of them, applied from the last begin to the first, those
-    of one begin in their order in the array. A null entry, or one with a null
-    begin or end, is left out; a null `new` deletes. Spans that overlap a later
-    one are cut at its begin. A null text counts as empty.
 
-    Returns doc_id, n_tokens, n_tokens_after, n_edits, n_chars, n_reencoded:
-    one row for each row of docs; other columns are ignored.
+def build_trees(docs: DataFrame, vocab_file: str = VOCAB_FILE, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text, n_tokens, tree: the state that edits are applied to.
+
+    One row for each row of docs; a null text counts as empty and stays null.
+    The tree holds its leaves, 2.5 bytes or so a unit; sums are made in reading.
+    Columns named in `keep` come along, all others are ignored.
     """
+    more = keep or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = UnitEncoder(vocab_file)
+        for b in slices(batches, 1):
+            leaves, edge = encoder.leaves(b.column(1))
+            total = np.concatenate([[0], np.cumsum(leaves[:, 1])])
+            made = [b.column(0), b.column(1), pa.array(np.diff(total[edge])), _stored(leaves, edge), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text", "n_tokens", "tree", *more])
+
+    plain = docs.select("doc_id", F.col("text").cast(T.StringType()).alias("text"), *more)
+    schema = T.StructType([plain.schema["doc_id"], plain.schema["text"], T.StructField("n_tokens", T.LongType()), T.StructField("tree", T.BinaryType()), *plain.schema.fields[2:]])
+    return plain.mapInArrow(run, schema)
+
+
+def _edited(texts: pa.Array, todo: pa.Array, encoder: UnitEncoder, leaves: Callable[[int], np.ndarray]) -> Iterator[tuple[int, CountedText, int]]:
+    """(row, text after its edits, how many they were) of rows that have edits."""
+    for i in np.flatnonzero(pc.list_value_length(todo).fill_null(0).to_numpy(zero_copy_only=False) > 0).tolist():
+        spans = [e for e in todo[i].as_py() if e and e["begin"] is not None and e["end"] is not None]
+        if not spans:
+            continue
+        doc = CountedText(texts[i].as_py() or "", encoder, leaves(i))
+        stop = None
+        for e in sorted(spans, key=lambda e: e["begin"], reverse=True):
+            doc.edit(e["begin"], e["end"] if stop is None else min(e["end"], stop), e["new"] or "")
+            stop = max(e["begin"], 0)
+        yield i, doc, len(spans)
+
+
+_APPLIED = "text string, n_tokens long, tree binary, n_tokens_before long, n_edits long, n_chars long, n_reencoded long"
+
+
+def apply_edits(state: DataFrame, edits: str = "edits", vocab_file: str = VOCAB_FILE) -> DataFrame:
+    """The state after each row's edits, with what they did.
+
+    `edits` names a column of type EDITS: spans of characters of the text as it
+    is before any of them, applied from the last begin to the first, those of
+    one begin in their order in the array. A null entry, or one with a null begin
+    or end, is left out; a null `new` deletes. Spans that overlap a later one
+    are cut at its begin. Returns doc_id, text, n_tokens and tree (the new
+    state), n_tokens_before, n_edits, n_chars (before) and n_reencoded, the
+    characters that were encoded anew. Rows without edits pass as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = UnitEncoder(vocab_file)
+        for b in slices(batches, 1):
+            texts, before, trees, todo = b.column(1), b.column(2).to_numpy(), b.column(3), b.column(4)
+            after, redone, number = before.copy(), np.zeros(len(before), np.int64), np.zeros(len(before), np.int64)
+            changed: dict[int, tuple[str, bytes]] = {}
+            for i, doc, n in _edited(texts, todo, encoder, lambda i: _loaded(trees[i].as_py())):  # noqa: B023
+                after[i], redone[i], number[i] = doc.n_tokens, doc.reencoded, n
+                leaves = doc.tree.levels[0]
+                changed[i] = (doc.text, _stored(leaves, np.array([0, len(leaves)]))[0].as_py())
+            chars = pc.utf8_length(texts).fill_null(0).cast(pa.int64())
+            if changed:
+                mask = np.zeros(len(before), bool)
+                mask[list(changed)] = True
+                texts, trees = (pc.replace_with_mask(c, pa.array(mask), pa.array([changed[i][k] for i in sorted(changed)], c.type)) for k, c in enumerate((texts, trees)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), texts, pa.array(after), trees, pa.array(before), pa.array(number), chars, pa.array(redone)],
+                names=["doc_id", "text", "n_tokens", "tree", "n_tokens_before", "n_edits", "n_chars", "n_reencoded"],
+            )
+
+    kind = state.schema["doc_id"].dataType.simpleString()
+    return state.select("doc_id", "text", "n_tokens", "tree", F.col(edits).cast(EDITS).alias("e")).mapInArrow(run, f"doc_id {kind}, {_APPLIED}")
+
+
+def edited_counts(docs: DataFrame, edits: str = "edits", vocab_file: str = VOCAB_FILE) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_after, n_edits, n_chars, n_reencoded for each
+    row of docs: trees are built and edits applied in one pass that stores
+    neither; see apply_edits()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder(vocab_file)
         for b in slices(batches, 1):
             texts = b.column(1)
-            before = encoder.counts(texts)
+            leaves, edge = encoder.leaves(texts)
+            before = np.diff(np.concatenate([[0], np.cumsum(leaves[:, 1])])[edge])
             after, redone, number = before.copy(), np.zeros(len(before), np.int64), np.zeros(len(before), np.int64)
-            todo = b.column(2)
-            for i in np.flatnonzero((pc.list_value_length(todo).fill_null(0).to_numpy(zero_copy_only=False)) > 0):
-                doc = CountedText(texts[int(i)].as_py() or "", encoder)
-                spans = [e for e in todo[int(i)].as_py() if e and e["begin"] is not None and e["end"] is not None]
-                stop = None
-                for e in sorted(spans, key=lambda e: e["begin"], reverse=True):
-                    doc.edit(e["begin"], e["end"] if stop is None else min(e["end"], stop), e["new"] or "")
-                    stop = max(e["begin"], 0)
-                after[i], redone[i], number[i] = doc.n_tokens, doc.reencoded, len(spans)
+            for i, doc, n in _edited(texts, b.column(2), encoder, lambda i: leaves[edge[i] : edge[i + 1]]):  # noqa: B023
+                after[i], redone[i], number[i] = doc.n_tokens, doc.reencoded, n
             chars = pc.utf8_length(texts).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(before), pa.array(after), pa.array(number), chars, pa.array(redone)],

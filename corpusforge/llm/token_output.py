@@ -71,6 +71,30 @@ class UnitEncoder:
             n[i] = len(self.encode(col[int(i)].as_py()))
         return n
 
+    def leaves(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(characters and tokens of each unit, offsets of each row's units).
+
+        A text whose white space may join units is one unit.
+        """
+        found = self._units(col)
+        if found is None:
+            return np.zeros((0, 2), np.int64), np.zeros(len(col) + 1, np.int64)
+        begin, rows, parts, inverse = found
+        raw, _ = text_buffer(col)
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        end = np.append(begin[1:], len(raw))
+        out = np.stack([chars[end] - chars[begin], np.fromiter(map(len, parts), np.int64, len(parts))[inverse]], axis=1)
+        edge = np.searchsorted(begin, rows)
+        wide = _wide(col)
+        if wide.any():
+            pieces = [out[edge[i] : edge[i + 1]] for i in range(len(col))]
+            for i in np.flatnonzero(wide):
+                text = col[int(i)].as_py()
+                pieces[i] = np.array([[len(text), len(self.encode(text))]], np.int64)
+            out = np.concatenate(pieces)
+            edge = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        return out, edge
+
     def batch(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of each row's ids)."""
         found = self._units(col)
