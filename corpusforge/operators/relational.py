@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_item, item_cap, path_has_no_loop
@@ -14,15 +15,22 @@ from ..functions.text import cut_item, item_cap, path_has_no_loop
 BROADCAST_ROWS = 100_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names, which survives the
-    loss of executors; a local folder only where none is named."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a local one only where
+    none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusforge-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder once and read again, which survives the
+    loss of executors."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def replicated_join(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
@@ -98,10 +106,11 @@ def expand_paths(edges: DataFrame, roots: Column, levels: int, grounded: str) ->
 
     edges: node, parent and further columns of the node. `roots` tells which
     edges begin a path. A path is an array; `groundedPath` has those of its
-    nodes whose column `grounded` is not null. Each level is checkpointed, for
-    the next level and the union both need it.
+    nodes whose column `grounded` is not null. Edges and each level are
+    written once, for the levels after it and the union need them again.
     """
     more = [c for c in edges.columns if c not in ("node", "parent")]
+    edges = cut_lineage(edges)
     here = F.when(F.col(grounded).isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array("node"))
     level = edges.filter(roots).select("node", *more, F.array("node").alias("fullPath"), here.alias("groundedPath"))
     level = cut_lineage(level.withColumn("startsBare", F.col(grounded).isNull()))

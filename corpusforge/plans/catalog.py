@@ -8,6 +8,7 @@ abstracts. Each query runs over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,15 +152,17 @@ def tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uri_triples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _nations(spark, sf_dir).select("n_name", F.concat(F.lit("Category:"), "r_name"))
     spaced = pairs.toDF("s", "o").select(F.replace("s", F.lit(" "), F.lit("+")).alias("s"), F.replace("o", F.lit(" "), F.lit("+")).alias("o"))
-    lines = ntriples.format_uri_uri(spaced, "http://example.org/p", topics.RESOURCE, topics.RESOURCE)
-    back = ntriples.parse_uri_uri(lines, "http://example.org/p", topics.RESOURCE, topics.RESOURCE, strict=True)
+    path = f"{relational.shared_folder(spark)}/uris-{uuid4().hex}.nt.bz2"
+    ntriples.write_uri_uri(spaced, path, "http://example.org/p", topics.RESOURCE, topics.RESOURCE)
+    back = ntriples.read_uri_uri(spark, path, "http://example.org/p", topics.RESOURCE, topics.RESOURCE, strict=True)
     return back.select(*[F.replace(c, F.lit("+"), F.lit(" ")).alias(c) for c in back.columns])
 
 
 @_query("SELECT doc_id::VARCHAR AS subject, text AS object, 'en' AS lang FROM documents")
 def literal_triples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ntriples.format_uri_literal(_t(spark, sf_dir, "documents").select("doc_id", "text"), "http://example.org/p", topics.RESOURCE, "en")
-    return ntriples.parse_uri_literal(lines, "http://example.org/p", topics.RESOURCE)
+    path = f"{relational.shared_folder(spark)}/literals-{uuid4().hex}.nt"
+    ntriples.write_uri_literal(_t(spark, sf_dir, "documents").select("doc_id", "text"), path, "http://example.org/p", topics.RESOURCE, "en")
+    return ntriples.read_uri_literal(spark, path, "http://example.org/p", topics.RESOURCE)
 
 
 @_query(r"""SELECT doc_id, replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') AS escaped FROM documents WHERE regexp_full_match(text, '[\x00-\x7e]*')""")
@@ -171,11 +174,11 @@ def escape_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT c_custkey::VARCHAR AS custkey, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment FROM customer")
 def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as lines and back: nulls come back as nulls."""
+    """Rows written as lines and read again: nulls come back as nulls."""
     rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("segment"))
-    t = F.split("value", "\t", -1)
-    fields = [F.when(t[k] != "", t[k]).alias(n) for k, n in enumerate(rows.columns)]
-    return tsv.to_lines(rows).select(*fields)
+    path = f"{relational.shared_folder(spark)}/rows-{uuid4().hex}.tsv"
+    tsv.write_tsv(rows, path)
+    return tsv.read_tsv(spark, path, "custkey string, name string, segment string")
 
 
 def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +384,7 @@ SELECT topicUri, n AS abstractCount, paths, body AS aggregateTopicAbstract FROM
 )
 def topic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six steps of the topic corpus in one."""
-    linked, edges = _linked(spark, sf_dir), _edges(spark, sf_dir)
+    linked, edges = relational.cut_lineage(_linked(spark, sf_dir)), _edges(spark, sf_dir)
     found = topics.topic_articles(topics.topic_descendants(linked, edges), _articles(spark, sf_dir))
     return topics.topic_texts(_abstracts(spark, sf_dir), found, topics.grounded_ancestry(linked, edges)).orderBy(F.desc("abstractCount"), "topicUri", "paths")
 

@@ -41,12 +41,13 @@ def parse_uri_uri(lines: DataFrame, property_uri: str | None = None, subject_ns:
     return rows.select(_without(_inner(t[0]), subject_ns).alias("subject"), _without(_inner(t[2]), object_ns).alias("object"))
 
 
-def parse_literal(token: Column, keep_plain: bool = False, wide: bool = False) -> Column:
-    """struct(text, lang) of a literal such as "a\\"b"@en, or null.
+def parse_literal(token: Column, keep_plain: bool = False, wide: bool = False) -> tuple[Column, Column, Column]:
+    """(whether it is one, text, lang) of a literal such as "a\\"b"@en.
 
-    lang is '' for typed literals. Plain literals (no tag, no type) give null
+    lang is '' for typed literals. Plain literals (no tag, no type) are none
     unless kept. Known escapes are \\n \\r \\t \\\\ \\" and \\uXXXX (not 0000);
-    with `wide` also \\UXXXXXXXX. Any other escape gives null.
+    with `wide` also \\UXXXXXXXX. With any other escape it is none. The text is
+    right only where it is one.
     """
     # no regular expression runs over a whole literal: alternatives under a
     # star take a stack frame a character
@@ -60,7 +61,7 @@ def parse_literal(token: Column, keep_plain: bool = False, wide: bool = False) -
     ok = F.startswith(token, F.lit('"')) & (end > 1) & ~F.rlike(single, F.lit(r'\\(?![nrt"]|u[0-9A-Fa-f]{4})|\\u0000'))
     if not keep_plain:
         ok = ok & (rest != "")
-    return F.when(ok, F.struct(text.alias("text"), F.regexp_extract(rest, r"^[@-]([^\s.^]*)", 1).alias("lang")))
+    return ok, text, F.regexp_extract(rest, r"^[@-]([^\s.^]*)", 1)
 
 
 def _narrow(body: Column) -> Column:
@@ -89,9 +90,9 @@ def parse_uri_literal(lines: DataFrame, property_uri: str | None = None, subject
     if property_uri is not None:
         rows = rows.filter(_inner(F.col("t")[1]) == property_uri)
     token = F.col("t")[2]
-    literal = parse_literal(F.substr(token, F.lit(1), F.length(token) - 2), keep_plain, wide)
-    rows = rows.select(_without(_inner(F.col("t")[0]), subject_ns).alias("subject"), literal.alias("l"))
-    return rows.filter("l is not null").select("subject", F.col("l.text").alias("object"), F.col("l.lang").alias("lang"))
+    # the filter has the cheap test only; text is made once, of the rows that pass
+    ok, text, lang = parse_literal(F.substr(token, F.lit(1), F.length(token) - 2), keep_plain, wide)
+    return rows.filter(ok).select(_without(_inner(F.col("t")[0]), subject_ns).alias("subject"), text.alias("object"), lang.alias("lang"))
 
 
 def read_uri_uri(spark: SparkSession, path: str, property_uri: str | None = None, subject_ns: str | None = None, object_ns: str | None = None, strict: bool = False) -> DataFrame:
