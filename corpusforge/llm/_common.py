@@ -73,7 +73,7 @@ def tree_sum(df: DataFrame, keys: list[str], **sums: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of about `limit` bytes in column `at`.
 
     Bounds what the arrays over a piece take, whatever the batch size; a row

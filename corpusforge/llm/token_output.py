@@ -24,7 +24,7 @@ from ._common import _IS_SPACE, hash_spans, materialise, slices, table, text_buf
 VOCAB_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries after which a worker's unit cache starts anew (memory only).
-CACHE_UNITS = 200_000
+CACHE_UNITS = 120_000
 #: White space beyond ASCII can join units; such texts are encoded whole.
 _WIDE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
