@@ -84,7 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = 2 << 20) ->
             yield b
             continue
         col = b.column(at)
-        size = np.frombuffer(col.buffers()[1], np.int32, count=len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
+        size = offsets(col)
         start = 0
         while start < b.num_rows:
             stop = max(start + 1, int(np.searchsorted(size, size[start] + limit, side="right")) - 1)
@@ -151,16 +151,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def offsets(col: pa.Array) -> np.ndarray:
+    """Where the values of a string or binary column begin in its buffer, and the end."""
+    kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
+    if col.buffers()[1] is None:
+        return np.zeros(1, np.int64)
+    return np.frombuffer(col.buffers()[1], kind, count=len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows (null: empty)."""
-    if pa.types.is_large_string(col.type):
-        kind = np.int64
-    else:
-        col, kind = col.cast(pa.string()), np.int32
     if col.null_count:
         col = col.fill_null("")
-    _, offsets, data = col.buffers()
-    at = np.frombuffer(offsets, dtype=kind, count=len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
+    at, data = offsets(col), col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
 

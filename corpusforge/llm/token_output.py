@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _IS_SPACE, hash_spans, materialise, slices, table, text_buffer
+from ._common import _IS_SPACE, hash_spans, materialise, offsets, slices, table, text_buffer
 
 VOCAB_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -218,7 +218,7 @@ def _tokenise(vocab_file: str):
 def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     width = b.column(1).to_numpy()
     col = b.column(2)
-    at = np.frombuffer(col.buffers()[1], np.int32, count=len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
+    at = offsets(col)
     raw = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]] if col.buffers()[2] else np.zeros(0, np.uint8)
     at = at - at[0]
     if len(set(width.tolist())) < 2:
