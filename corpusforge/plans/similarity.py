@@ -6,10 +6,13 @@ scores are sums over shared terms, all as joins and aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import human_readable
+from ..sources.html import html_text
 
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
@@ -90,3 +93,35 @@ def readable_paths(paths: Column | str) -> Column:
     whole = F.filter(F.split(paths, " "), lambda p: p != "")
     named = F.transform(whole, lambda p: F.array_join(F.transform(F.filter(F.split(p, "/"), lambda e: F.trim(e) != ""), lambda e: human_readable(e)), " / "))
     return F.array_sort(F.array_distinct(named))
+
+
+def query_text(spark: SparkSession, document: str) -> DataFrame:
+    """(qid, text) of a document: the text of a file, of the headings and
+    paragraphs of one with HTML, or the argument itself. Pages are not fetched:
+    download them first."""
+    if document.startswith(("http://", "https://")):
+        raise ValueError("download the page and give its file")
+    if Path(document).is_file():
+        document = Path(document).read_text(encoding="utf-8", errors="replace")
+    one = spark.createDataFrame([(0, document)], "qid int, text string")
+    is_page = F.rlike("text", F.lit(r"(?i)<(?:html|body|p|h[1-4])[\s>]"))
+    return one.withColumn("text", F.when(is_page, html_text("text")).otherwise(F.col("text")))
+
+
+def categorize_document(spark: SparkSession, document: str, topics: DataFrame, n_categories: int = 5, n_terms: int = 30, bagging: bool = False) -> dict[str, DataFrame]:
+    """topics, paths and terms for one document, from an index relation
+    (topicUri, paths, aggregateTopicAbstract).
+
+    topics: label, score (votes with bagging), rank; paths: readable ones of
+    these topics, sorted; terms: the query's own, by weight.
+    """
+    query = query_text(spark, document)
+    postings = index(topics, "topicUri", "aggregateTopicAbstract")
+    if bagging:
+        best = bagging_categorize(query, "qid", postings, n_categories, n_terms=n_terms).withColumnRenamed("votes", "score")
+    else:
+        best = categorize(query, "qid", postings, n_categories, n_terms)
+    named = best.select(human_readable("id").alias("label"), "score", "rank")
+    own = best.join(topics, F.col("id") == F.col("topicUri")).select(F.explode(readable_paths("paths")).alias("path")).distinct()
+    terms = interesting_terms(query, "qid", term_weights(postings), n_terms=n_terms).select("term", "weight")
+    return {"topics": named.orderBy("rank"), "paths": own.orderBy("path"), "terms": terms.orderBy(F.desc("weight"), "term")}

@@ -177,3 +177,16 @@ def test_dump_to_corpus(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "red")).collect()] == [f"{w}R\t{w}P"]
     cli.main(["links", str(tmp_path / "d.xml"), str(tmp_path / "links"), "--lang", "fr"])
     assert spark.read.text(str(tmp_path / "links")).count() == 2
+
+
+def test_categorize_a_document(spark, tmp_path, capsys):
+    lines = ["Category:Big_cats\t11\tCategory:Animals/Category:Big_cats\t\"cat cat purr meow fur\"", "Category:Cars\t12\tCategory:Cars\t\"engine wheel road\""]
+    (tmp_path / "topics.tsv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "page.html").write_text("<html><h1>My cat</h1><p>It can purr.</p><div>engine engine</div></html>")
+    cli.main(["categorize", str(tmp_path / "page.html"), str(tmp_path / "topics.tsv"), "--categories", "1", "--print-paths", "--print-terms", "--print-raw-text"])
+    out = capsys.readouterr().out
+    assert out.startswith("Big cats") and "Animals / Big cats" in out and "purr" in out and "My cat\n\nIt can purr." in out
+    cli.main(["categorize", "a wheel and a road", str(tmp_path / "topics.tsv"), "--bagging", "--categories", "1"])
+    assert capsys.readouterr().out.startswith("Cars")
+    with pytest.raises(ValueError, match="download"):
+        similarity.query_text(spark, "http://a.example/")
