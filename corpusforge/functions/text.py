@@ -6,6 +6,8 @@ one bad row never fails a job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c computed once however often `then` uses it."""
+    return F.get(F.transform(F.array(c), lambda v: then(v)), F.lit(0))
+
+
 def strip_controls(c: Column | str) -> Column:
     """Without spaces and control characters (up to U+0020) at both ends."""
     return F.regexp_replace(_col(c), _EDGE, "")
@@ -128,11 +135,13 @@ def human_readable(topic: Column | str, prefix: str = "Category:") -> Column:
 def unescape_xml(c: Column | str) -> Column:
     """The five named entities and numeric ones; the ampersand comes last, so
     that what it reveals is not unescaped again."""
-    c = _col(c)
+    return let(_col(c), lambda v: F.when(F.contains(v, F.lit("&")), _unescaped(v)).otherwise(v))
+
+
+def _unescaped(c: Column) -> Column:
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
         c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    pieces = F.regexp_extract_all(c, F.lit(r"&#(?:\d{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0))
-    between = F.split(c, r"&#(?:\d{1,7}|[xX][0-9A-Fa-f]{1,6});", -1)
+    numeric = r"&#(?:\d{1,7}|[xX][0-9A-Fa-f]{1,6});"
 
     def char_of(p: Column) -> Column:
         # a code point by its UTF-32 bytes
@@ -141,5 +150,10 @@ def unescape_xml(c: Column | str) -> Column:
         code = F.when(F.lower(F.substr(p, F.lit(3), F.lit(1))) == "x", hexa).otherwise(deci)
         return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
 
-    joined = F.array_join(F.transform(F.arrays_zip(between.alias("b"), F.transform(pieces, char_of).alias("p")), lambda x: F.concat(x["b"], F.coalesce(x["p"], F.lit("")))), "")
-    return F.replace(F.when(F.contains(c, F.lit("&#")), joined).otherwise(c), F.lit("&amp;"), F.lit("&"))
+    def joined(v: Column) -> Column:
+        chars = F.transform(F.regexp_extract_all(v, F.lit(numeric), F.lit(0)), char_of)
+        parts = F.arrays_zip(F.split(v, numeric, -1).alias("b"), chars.alias("p"))
+        return F.array_join(F.transform(parts, lambda x: F.concat(x["b"], F.coalesce(x["p"], F.lit("")))), "")
+
+    plain = let(c, lambda v: F.when(F.contains(v, F.lit("&#")), joined(v)).otherwise(v))
+    return F.replace(plain, F.lit("&amp;"), F.lit("&"))

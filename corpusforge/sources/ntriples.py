@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 def _inner(token: Column) -> Column:
     """Without the first and the last character."""
     return F.substr(token, F.lit(2), F.length(token) - 2)
@@ -53,7 +55,8 @@ def parse_literal(token: Column, keep_plain: bool = False, wide: bool = False) -
     # star take a stack frame a character
     masked = F.replace(F.replace(token, F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("__"))
     end = F.position(F.lit('"'), masked, F.lit(2))
-    body, rest = F.substr(token, F.lit(2), end - 2), F.substr(token, end + 1)
+    cut = let(end, lambda e: F.struct(F.substr(token, F.lit(2), e - 2).alias("body"), F.substr(token, e + 1).alias("rest"), e.alias("end")))
+    body, rest, end = cut["body"], cut["rest"], cut["end"]
     if wide:
         body = _narrow(body)
     text = F.from_json(F.concat(F.lit('["'), body, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"})[0]
@@ -108,12 +111,12 @@ def escape_ascii(c: Column, uri: bool = False) -> Column:
     \\uXXXX in capitals for other controls, DEL and all beyond (two for a
     character beyond the first plane); in URIs for angle brackets too."""
     raw = F.to_json(F.array(c), {"writeNonAsciiCharacterAsCodePoint": "true"})
-    out = F.substr(raw, F.lit(3), F.length(raw) - 4)
+    out = let(raw, lambda v: F.substr(v, F.lit(3), F.length(v) - 4))
     # JSON has two more short escapes (an even number of backslashes before) and leaves DEL
-    out = F.regexp_replace(out, r"((?:^|[^\\])(?:\\\\)*)\\b", r"$1\\u0008")
-    out = F.regexp_replace(out, r"((?:^|[^\\])(?:\\\\)*)\\b", r"$1\\u0008")
-    out = F.regexp_replace(out, r"((?:^|[^\\])(?:\\\\)*)\\f", r"$1\\u000C")
-    out = F.regexp_replace(out, r"((?:^|[^\\])(?:\\\\)*)\\f", r"$1\\u000C")
+    for short, code in (("b", "0008"), ("f", "000C")):
+        pattern, new = rf"((?:^|[^\\])(?:\\\\)*)\\{short}", rf"$1\\u{code}"
+        twice = lambda v, p=pattern, n=new: F.regexp_replace(F.regexp_replace(v, p, n), p, n)
+        out = let(out, lambda v, s=short, f=twice: F.when(F.contains(v, F.lit(f"\\{s}")), f(v)).otherwise(v))
     out = F.replace(out, F.lit("\x7f"), F.lit("\\u007F"))
     if uri:
         out = F.replace(F.replace(out, F.lit("<"), F.lit("\\u003C")), F.lit(">"), F.lit("\\u003E"))

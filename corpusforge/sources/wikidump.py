@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import parsed
-from ..functions.text import redirect_target, title_to_uri, unescape_xml
+from ..functions.text import let, redirect_target, title_to_uri, unescape_xml
 
 
 def _inside(page: Column, tag: str) -> Column:
     """What stands in the first element of the name; null where it has no end tag."""
-    found = F.regexp_extract(page, rf"(?s)<{tag}(?:\s[^>]*[^>/])?>(.*?)</{tag}>", 1)
-    return F.when(F.rlike(page, F.lit(rf"(?s)<{tag}(?:\s[^>]*[^>/])?>.*?</{tag}>")), found)
+    whole = F.regexp_extract(page, rf"(?s)<{tag}(?:\s[^>]*[^>/])?>.*?</{tag}>", 0)
+    end = F.lit(len(tag) + 3)
+
+    def content(v: Column) -> Column:
+        start = F.position(F.lit(">"), v)
+        return F.when(v != "", F.substr(v, start + 1, F.length(v) - start - end))
+
+    return let(whole, content)
 
 
 def read_wiki_raw(spark: SparkSession, path: str, lang: str | None = "en") -> DataFrame:
