@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.nlp import merge_annotations, sentences_with_links
 from ..operators.relational import follow_redirects, replicated_join
 from ..sources.ntriples import read_uri_uri
-from ..sources.tsv import type_names, write_tsv
+from ..sources.tsv import W3, type_names, write_tsv
 from ..sources.wikidump import read_wiki_parsed
 
-THING = "http://www.w3.org/2002/07/owl#Thing"
+THING = W3 + "2002/07/owl#Thing"
 
 
 def page_sentences(parsed: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def run_ner(spark: SparkSession, dump: str, triples: str, target: str, lang: str
     sentences = spark.read.parquet(f"{out}/sentences_with_links")
     links = read_uri_uri(spark, f"{triples}/wikipedia_links_{lang}.nt", "http://xmlns.com/foaf/0.1/primaryTopic").toDF("wikiuri", "dburi")
     redirects = read_uri_uri(spark, f"{triples}/redirects_{lang}.nt", "http://dbpedia.org/ontology/wikiPageRedirects").toDF("source", "target")
-    instances = read_uri_uri(spark, f"{triples}/instance_types_en.nt", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type").toDF("dburi", "type")
+    instances = read_uri_uri(spark, f"{triples}/instance_types_en.nt", W3 + "1999/02/22-rdf-syntax-ns#type").toDF("dburi", "type")
     article_types(links, redirects, instances).orderBy("wikiuri", "type").write.mode("overwrite").parquet(f"{out}/wikiuri_to_types")
     types = spark.read.parquet(f"{out}/wikiuri_to_types")
     if type_uri:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import check_abstract, safe_tsv
 from ..operators.relational import aggregate_grouped, cogroup_counts, concat_grouped, expand_paths, follow_redirects, split_if, union_all, without
 from ..sources.ntriples import read_uri_literal, read_uri_uri, write_uri_literal
-from ..sources.tsv import write_all, write_tsv
+from ..sources.tsv import W3, write_all, write_tsv
 
 CATEGORY = "Category:"
 RESOURCE = "http://dbpedia.org/resource/"
@@ -24,7 +24,7 @@ BLACKLIST += [CATEGORY + n for n in _UNKNOWN] + _UNKNOWN + ["Year_of_death_missi
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """(narrowerTopicUri, broaderTopicUri)"""
-    return read_uri_uri(spark, path, "http://www.w3.org/2004/02/skos/core#broader", RESOURCE, RESOURCE).toDF("narrowerTopicUri", "broaderTopicUri")
+    return read_uri_uri(spark, path, W3 + "2004/02/skos/core#broader", RESOURCE, RESOURCE).toDF("narrowerTopicUri", "broaderTopicUri")
 
 
 def read_article_topics(spark: SparkSession, path: str) -> DataFrame:

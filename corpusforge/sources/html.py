@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unescape_xml
 
-TAGS = ("h1", "h2", "h3", "h4", "p")
+TAGS = "h1 h2 h3 h4 p".split()
 
 
 def html_text(html: Column | str) -> Column:

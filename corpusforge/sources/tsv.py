@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 
+#: Where the standard vocabularies are.
+W3 = "http://www.w3.org/"
 #: Types of the linked-data ontology and their names in annotated text.
 ONTOLOGY = "http://dbpedia.org/ontology/"
 DEFAULT_TYPES = {

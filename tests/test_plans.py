@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpusforge.__main__ as cli
 from corpusforge.operators import relational as R
 from corpusforge.plans import ner, similarity, topics
+from corpusforge.sources.tsv import W3
 
 GOOD = "word " * 40
 
@@ -147,7 +148,7 @@ def triples(tmp_path):
             f.write("\n".join(lines) + "\n")
 
     r = topics.RESOURCE
-    write("skos_categories", [f"<{r}Category:T> <http://www.w3.org/2004/02/skos/core#broader> <{r}{topics.ROOT}> ."])
+    write("skos_categories", [f"<{r}Category:T> <{W3}2004/02/skos/core#broader> <{r}{topics.ROOT}> ."])
     write("article_categories", [f"<{r}A{i}> <http://purl.org/dc/terms/subject> <{r}Category:T> ." for i in range(12)])
     write("long_abstracts", [f'<{r}{a}> <http://dbpedia.org/ontology/abstract> "{GOOD}{a} \\"q\\""@en .' for a in ["T", *[f"A{i}" for i in range(12)]]])
     write("redirects", [f"<{r}X> <http://dbpedia.org/ontology/wikiPageRedirects> <{r}T> ."])
@@ -170,7 +171,7 @@ def test_dump_to_corpus(spark, tmp_path):
     (tmp_path / "wikipedia_links_en.nt").write_text("".join(f"<{w}{a}> <http://xmlns.com/foaf/0.1/primaryTopic> <{db}{a}> .\n" for a in ("Ann_lee", "Rome")))
     (tmp_path / "redirects_en.nt").write_text("")
     kinds = {"Ann_lee": "Person", "Rome": "Place"}
-    (tmp_path / "instance_types_en.nt").write_text("".join(f"<{db}{a}> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/{k}> .\n" for a, k in kinds.items()))
+    (tmp_path / "instance_types_en.nt").write_text("".join(f"<{db}{a}> <{W3}1999/02/22-rdf-syntax-ns#type> <http://dbpedia.org/ontology/{k}> .\n" for a, k in kinds.items()))
     cli.main(["ner", str(tmp_path / "d.xml"), str(tmp_path / "out"), "--triples", str(tmp_path)])
     assert [r[0] for r in spark.read.text(str(tmp_path / "out/en/annotated")).collect()] == ["<START:person> ann lee <END> met <START:location> Rome <END> ."]
     cli.main(["redirects", str(tmp_path / "d.xml"), str(tmp_path / "red")])
