@@ -16,6 +16,7 @@ that spill to disk.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -215,9 +216,11 @@ def _follow(words: int):
         far = np.iinfo(np.int64).max
         stop = np.append(stops, far)[np.searchsorted(stops, begin)]
         stop = np.minimum(stop, np.append(begin[1:], far)[: len(begin)] - 1)
+        # whether the run with the next word stands in two texts as well
+        goes_on = (np.append(begin[1:], far)[: len(begin)] == stop + 1) & ~np.isin(stop, key[(flags & 6) == 2])
         return pa.RecordBatch.from_arrays(
-            [pa.array(owner), pa.array(begin & 0xFFFFFFFF), pa.array(stop - begin + words), pa.array(label), pa.array(count.astype(np.int64))],
-            names=["tid", "begin_word", "n_words", "repeat_id", "n_occurrences"],
+            [pa.array(owner), pa.array(begin & 0xFFFFFFFF), pa.array(stop - begin + words), pa.array(label), pa.array(count.astype(np.int64)), pa.array(goes_on)],
+            names=["tid", "begin_word", "n_words", "repeat_id", "n_occurrences", "goes_on"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +241,140 @@ def _follow(words: int):
     return run
 
 
+def _rests(words: int):
+    """The spans of _follow() with all that go on from each: suffixes of texts
+    written in spans instead of words."""
+    follow = _follow(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in follow(batches):
+            tid, begin, n, label, _, goes_on = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(tid):
+                continue
+            own = np.arange(len(tid))
+            last = np.flatnonzero(~goes_on)
+            size = last[np.searchsorted(last, own)] - own + 1
+            opens = np.concatenate([[True], ~goes_on[:-1]])
+            left = pa.array(np.concatenate([label[:1], label[:-1]]), mask=opens)
+            part = np.cumsum(size) // 500_000
+            for a in np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist():
+                z = int(np.searchsorted(part, part[a], side="right"))
+                edge = np.concatenate([[0], np.cumsum(size[a:z])])
+                at = np.arange(edge[-1]) + np.repeat(own[a:z] - edge[:-1], size[a:z])
+                reach = begin[at] + n[at] - np.repeat(begin[a:z], size[a:z])  # in words, from the suffix's begin
+                edge = pa.array(edge.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(label[a:z]), pa.array(tid[a:z]), pa.array(begin[a:z]), left[a:z], pa.ListArray.from_arrays(edge, pa.array(label[at])), pa.ListArray.from_arrays(edge, pa.array(reach))],
+                    names=["label", "tid", "begin_word", "left", "rest", "reach"],
+                )
+
+    return run
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of all inner nodes of the suffix tree of spans that have two
+    texts and differ to the left; suffixes come sorted."""
+    out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal out, held
+        size = [len(x[0]) for x in out]
+        cols = [np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.repeat([x[2] for x in out], size), np.repeat([x[3] for x in out], size)]
+        for a in range(0, held, 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["tid", "begin_word", "n_words", "repeat_id"])
+        out, held = [], 0
+
+    # places of suffixes with the same first span, open nodes (depth, first place), the last suffix
+    tid: list[int] = []
+    begin: list[int] = []
+    left: list[int | None] = []
+    nodes = [(0, 0)]
+    last, last_reach = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def close(depth: int) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        while nodes[-1][0] > depth:
+            d, a = nodes.pop()
+            own, before = tid[a:], left[a:]
+            if min(own) < max(own) and (None in before or min(before) < max(before)):
+                name = int.from_bytes(blake2b(last[:d].tobytes(), digest_size=8).digest(), "little", signed=True)
+                out.append((np.array(own, np.int64), np.array(begin[a:], np.int64), int(last_reach[d - 1]), name))
+                held += len(own)
+                if held >= 100_000:
+                    yield from flush()
+            if nodes[-1][0] < depth:
+                nodes.append((depth, a))
+
+    for b in batches:
+        rest, reach = b.column(4), b.column(5)
+        flat, flat_reach = rest.flatten().to_numpy(), reach.flatten().to_numpy()
+        edge = (rest.offsets.to_numpy() - rest.offsets[0].as_py()).tolist()
+        for i, (t, p, before) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            own = flat[edge[i] : edge[i + 1]]
+            n = min(len(own), len(last))
+            other = np.flatnonzero(own[:n] != last[:n])
+            depth = int(other[0]) if len(other) else n
+            yield from close(depth)
+            if depth == 0:
+                tid, begin, left, nodes = [], [], [], [(0, 0)]
+            elif nodes[-1][0] < depth:
+                nodes.append((depth, len(tid) - 1))
+            tid.append(t)
+            begin.append(p)
+            left.append(before)
+            last, last_reach = own, flat_reach[edge[i] : edge[i + 1]]
+    yield from close(0)
+    if out:
+        yield from flush()
+
+
+def _sorted_nodes(docs: DataFrame, words: int, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(word counts of the rows, nodes as _follow() takes them)."""
+    if not 0 < seed <= words:
+        raise ValueError("seed must be 1..words")
+    texts = with_tid(docs)
+    counts = materialise(word_counts(texts), "word-counts")
+    one = repeated_texts(texts, counts, words, seed)
+    trie = split_prefixes(one, words, seed, most)
+    suffixes = one.mapInArrow(_emit(words, seed, trie), "group int, name long, tid long, at int, beside long")
+    large = F.col("group").isin(trie.large)
+    fits = suffixes.filter(~large) if trie.large else suffixes
+    nodes = fits.repartitionById(max(trie.groups, 1), "group").mapInArrow(_nodes, "tid long, at int, flags byte, id long, n int, next_id long, next_n int")
+    if trie.large:
+        nodes = nodes.unionByName(_large_nodes(suffixes.filter(large)))
+    return counts, nodes.repartition("tid").sortWithinPartitions("tid", "at")
+
+
+def all_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS, most: int = GROUP_SUFFIXES) -> DataFrame:
+    """doc_id, begin_word, n_words, n_occurrences, first_doc_id, repeat_id.
+
+    One row for each place of each maximal repeat: `words` words and more that
+    stand in two different texts, and that differ over all their places in the
+    word to the left and in the word to the right (a text's edge differs from
+    anything). Repeats lie in each other where a part has more places than the
+    whole: both have rows. A text that several documents have whole is a repeat
+    too. n_occurrences counts places in documents, which is the repeat's rows.
+
+    The runs of maximal_repeats() are the letters here: a maximal repeat begins
+    and ends with a run, so sorting the suffixes in runs finds all of them at
+    their full length. Other input is taken as there.
+    """
+    counts, nodes = _sorted_nodes(docs, words, seed, most)
+    rests = nodes.mapInArrow(_rests(words), "label long, tid long, begin_word long, left long, rest array<long>, reach array<long>")
+    found = rests.repartition("label").sortWithinPartitions("rest").mapInArrow(_intervals, "tid long, begin_word long, n_words long, repeat_id long")
+    found = materialise(found, "repeats")
+    rows = counts.filter(F.col("n_words") >= words).distinct()
+    inner = found.join(rows.select("doc_id", "tid"), "tid")
+    # whole texts that stand in another text too are among the others
+    known = found.filter("begin_word = 0").join(rows.select("tid", F.col("n_words").cast("long").alias("n_words")).distinct(), ["tid", "n_words"]).select("tid")
+    whole = rows.join(copies(counts, words), "tid").join(known, "tid", "left_anti").select(
+        "tid", F.lit(0).cast("long").alias("begin_word"), F.col("n_words").cast("long").alias("n_words"), F.col("tid").alias("repeat_id"), "doc_id"
+    )
+    same = Window.partitionBy("repeat_id")
+    return inner.unionByName(whole).select("doc_id", "begin_word", "n_words", F.count("*").over(same).alias("n_occurrences"), F.min("doc_id").over(same).alias("first_doc_id"), "repeat_id")
+
+
 def maximal_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS, most: int = GROUP_SUFFIXES) -> DataFrame:
     """doc_id, begin_word, n_words, n_occurrences, first_doc_id, repeat_id.
 
@@ -253,19 +390,8 @@ def maximal_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WO
     count once; other columns are ignored. Left and right words are compared by
     31-bit hashes, runs by 64-bit ones.
     """
-    if not 0 < seed <= words:
-        raise ValueError("seed must be 1..words")
-    texts = with_tid(docs)
-    counts = materialise(word_counts(texts), "word-counts")
-    one = repeated_texts(texts, counts, words, seed)
-    trie = split_prefixes(one, words, seed, most)
-    suffixes = one.mapInArrow(_emit(words, seed, trie), "group int, name long, tid long, at int, beside long")
-    large = F.col("group").isin(trie.large)
-    fits = suffixes.filter(~large) if trie.large else suffixes
-    nodes = fits.repartitionById(max(trie.groups, 1), "group").mapInArrow(_nodes, "tid long, at int, flags byte, id long, n int, next_id long, next_n int")
-    if trie.large:
-        nodes = nodes.unionByName(_large_nodes(suffixes.filter(large)))
-    spans = nodes.repartition("tid").sortWithinPartitions("tid", "at").mapInArrow(_follow(words), "tid long, begin_word long, n_words long, repeat_id long, n_occurrences long")
+    counts, nodes = _sorted_nodes(docs, words, seed, most)
+    spans = nodes.mapInArrow(_follow(words), "tid long, begin_word long, n_words long, repeat_id long, n_occurrences long, goes_on boolean").drop("goes_on")
     rows = counts.filter(F.col("n_words") >= words).distinct()
     inner = spans.join(rows.select("doc_id", "tid"), "tid")
     whole = rows.join(copies(counts, words), "tid").select(
@@ -282,6 +408,11 @@ def op7_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maximal_repeats(table(spark, sf_dir, "documents")).drop("repeat_id")
 
 
+def op7_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of all maximal repeats at their full length, nested ones too."""
+    return all_repeats(table(spark, sf_dir, "documents"))
+
+
 _N = MIN_WORDS
 _ORACLE = f"""
 WITH texts AS (
@@ -314,5 +445,5 @@ found AS (
 SELECT doc_id, begin_word, n_words, n_occurrences, min(doc_id) OVER (PARTITION BY repeat) AS first_doc_id FROM found
 """
 
-QUERIES = {"op7_suffix_trees": op7_suffix_trees}
+QUERIES = {"op7_suffix_trees": op7_suffix_trees, "op7_maximal_repeats": op7_maximal_repeats}
 ORACLES = {"op7_suffix_trees": _ORACLE}

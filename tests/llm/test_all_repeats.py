@@ -1,0 +1,63 @@
+from collections import defaultdict
+
+import pytest
+
+from corpusforge.llm import suffix_trees as S
+
+from .test_suffix_array import corpus
+
+
+def every_repeat(rows, words):
+    """Brute force: all runs of all lengths in two texts that differ on both sides."""
+    owners = defaultdict(set)
+    for d, t in rows:
+        if t:
+            owners[t].add(str(d))
+    cut = {t: t.split() for t in owners}
+    found = defaultdict(set)
+    longest = max(map(len, cut.values()), default=0)
+    for n in range(words, longest + 1):
+        seen = defaultdict(set)
+        for t, w in cut.items():
+            for i in range(len(w) - n + 1):
+                seen[tuple(w[i : i + n])].add((t, i))
+        for run, places in seen.items():
+            if len({t for t, _ in places}) < 2:
+                continue
+            left = {cut[t][i - 1] if i else (t, i) for t, i in places}
+            right = {cut[t][i + n] if i + n < len(cut[t]) else (t, i) for t, i in places}
+            if len(left) > 1 and len(right) > 1:
+                found[run] |= places
+    for t, w in cut.items():
+        if len(owners[t]) > 1 and len(w) >= words and tuple(w) not in found:
+            found["whole", t].add((t, 0))
+    out = []
+    for run, places in found.items():
+        n = len(cut[run[1]]) if run[0] == "whole" and run[1] in cut else len(run)
+        total = sum(len(owners[t]) for t, _ in places)
+        out += [(d, i, n, total) for t, i in places for d in owners[t]]
+    return sorted(out)
+
+
+def found(docs, *how):
+    return sorted((str(r["doc_id"]), r["begin_word"], r["n_words"], r["n_occurrences"]) for r in S.all_repeats(docs, *how).collect())
+
+
+@pytest.mark.parametrize(("words", "seed", "most"), [(12, 6, 40), (9, 4, 5), (12, 5, 10**6)])
+def test_against_brute_force(spark, words, seed, most):
+    rows = corpus(words * 7 + seed)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), words, seed, most) == every_repeat(rows, words) != []
+
+
+def test_long_repeats_with_a_shared_passage(spark):
+    a, b, p = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 300), ("b", 300), ("p", 60)))
+    rows = [(1, f"one {a} {p} {b} end"), (2, f"two {a} {p} {b} stop"), (3, f"three {p} other"), (4, f"three {p} other"), (5, p)]
+    rows += [(6, "x y " * 40), (7, "y x " * 33 + "z"), (8, p), (9, f"{p} {p} {p}")]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == every_repeat(rows, 50)
+    assert [x for x in got if x[2] == 660] == [("1", 1, 660, 2), ("2", 1, 660, 2)]
+    assert len([x for x in got if x[2:] == (60, 9)]) == 9  # the passage in seven documents, three times in one of them
+
+
+def test_empty_table(spark):
+    assert S.all_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
