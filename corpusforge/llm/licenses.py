@@ -171,8 +171,10 @@ class Index:
             for s in order:
                 agree = set().union(*(starts[x] for x in range(s - SLACK, s + SLACK + 1) if x in starts))
                 if len(agree) == self.needed[t]:
-                    span = self._verify(h, t, s)
-                    if span and span[0] >= end:
+                    # the votes may all be of a later phrase, that far from the first
+                    spans = (self._verify(h, t, s + d) for d in range(-SLACK, SLACK + 1))
+                    span = next((x for x in spans if x and x[0] >= end), None)
+                    if span:
                         found.append((t, *span))
                         end = span[1]
         return sorted(found, key=lambda x: (x[1], x[0]))
