@@ -480,6 +480,60 @@ def typed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.replicated_join(rows, labels, "k").select("c_custkey", "n_name", "label")
 
 
+def _linked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pages with their whole text below a heading, in which
+    each twelfth word links to the page of the source."""
+    docs = _t(spark, sf_dir, "documents")
+    page = F.concat(F.lit("$1[["), "source", F.lit("|$2]]$3"))
+    linked = F.regexp_replace(F.coalesce("text", F.lit("")), F.lit(r"(?<!\S)((?:\S++\s++){11})([\p{L}\p{N}]++)(\S*+)"), page)
+    markup = F.concat(F.lit("== "), "source", F.lit(" ==\n"), linked)
+    return docs.select(F.col("doc_id").cast("string").alias("title"), text.title_to_uri(F.col("doc_id").cast("string")).alias("uri"), markup.alias("markup"))
+
+
+def _text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.page_sentences(wikidump.parse_raw(_linked_texts(spark, sf_dir)))
+
+
+@_query()
+def text_sentence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_sentences(spark, sf_dir)
+
+
+@_query()
+def text_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.links(wikidump.parse_raw(_linked_texts(spark, sf_dir)))
+
+
+@_query()
+def text_annotated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in all headings and all paragraphs of the texts."""
+    parsed = wikidump.parse_raw(_linked_texts(spark, sf_dir))
+    return parsed.select("title", span_texts("text", "headers").alias("headers"), span_texts("text", "paragraphs").alias("paragraphs"))
+
+
+@_query()
+def text_merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with all their links merged in."""
+    parsed = wikidump.parse_raw(_linked_texts(spark, sf_dir))
+    spans = F.transform("links", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.lit("link").alias("type")))
+    return parsed.select("title", nlp.merge_annotations("text", spans).alias("merged"))
+
+
+@_query()
+def text_ner_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.annotated_sentences(_text_sentences(spark, sf_dir), ner.article_types(*_instances(spark, sf_dir)), tsv.type_names(spark))
+
+
+@_query()
+def text_ner_corpus_of_one_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.annotated_with(_text_sentences(spark, sf_dir), ner.article_types(*_instances(spark, sf_dir)), tsv.ONTOLOGY + "Place", "place")
+
+
+@_query()
+def text_entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.entity_contexts(_text_sentences(spark, sf_dir))
+
+
 # --- similarity -----------------------------------------------------------------
 
 _STOPS = ", ".join(f"'{w}'" for w in similarity.STOP_WORDS)
