@@ -280,7 +280,12 @@ def token_output(docs: DataFrame, vocab_file: str = VOCAB_FILE) -> tuple[DataFra
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(table(spark, sf_dir, "documents"))[0]
+    """The encoded documents (kind 'document') and the ranking that turns their
+    ids back into tokens (kind 'token'), in one table; the columns of the other
+    kind are null."""
+    encoded, ranking = token_output(table(spark, sf_dir, "documents"))
+    rows = encoded.withColumn("kind", F.lit("document"))
+    return rows.unionByName(ranking.withColumn("kind", F.lit("token")), allowMissingColumns=True)
 
 
 QUERIES = {"op4_token_output": op4_token_output}
