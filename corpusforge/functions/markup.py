@@ -31,19 +31,23 @@ _MAGIC = re.compile(r"__[A-Z]{3,}__")
 _HEADING = re.compile(r"^(={1,6})\s*(.+?)\s*\1\s*$")
 _PAIR = re.compile(r"\{\{|\}\}")
 _TABLE = re.compile(r"^[ \t:]*\{\||^[ \t]*\|\}", re.M)
-_IMAGE = re.compile(r"^\s*(?:file|image|fichier|datei|archivo|bild|imagen|immagine)\s*:", re.I)
+_IMAGE = re.compile(r"\s*(?:file|image|fichier|datei|archivo|bild|imagen|immagine)\s*:", re.I)
 _IMAGE_OPTION = re.compile(
-    r"^\s*(?:thumb|thumbnail|frame|framed|frameless|border|left|right|center|centre|none|upright(?:=.*)?|baseline|middle|sub|super|top|bottom|\d*x?\d+\s*px|(?:alt|link|page|lang|class)=.*|vignette|miniatur|gauche|droite|links|rechts)\s*$",
+    r"\s*(?:thumb|thumbnail|frame|framed|frameless|border|left|right|center|centre|none|upright(?:=.*)?|baseline|middle|sub|super|top|bottom|\d*x?\d+\s*px|(?:alt|link|page|lang|class)=.*|vignette|miniatur|gauche|droite|links|rechts)\s*$",
     re.I | re.S,
 )
+_OTHER_WIKI = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?http://[\w-]+\.wikipedia\.org/wiki/[^>]*>.*?(?:</a\s*>|\Z)", re.S | re.I)
 _INTERWIKI = re.compile(r"^http://[\w-]+\.wikipedia\.org/wiki/.*")
 _EXTERNAL = re.compile(r"\[((?:https?|ftp)://[^\s\]]+)(?:\s+([^\]]*))?\]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _TRAIL = re.compile(r"[^\W\d_]+")
-_QUOTES = re.compile(r"'{2,}")
-_TOKEN = re.compile(r"\[\[|\]\]|\[(?:https?|ftp)://|'{2,}|</?[A-Za-z][^<>]*>|&#?\w+;")
-_KEPT = "%d"
-_KEEP = re.compile("(\\d+)")
+_TOKEN = re.compile(r"\[\[|\]\]|\[(?:https?|ftp)://|''+|</?[A-Za-z][^<>]*>|&#?\w+;")
+_BRACKETS = re.compile(r"\[\[|\]\]")
+_BARS = re.compile(r"\[\[|\|")
+#: Stands around the number of a piece that is kept as it is; no XML text has it.
+_MARK = "\0"
+_KEPT = f"{_MARK}%d{_MARK}"
+_KEEP = re.compile(f"{_MARK}(\\d+){_MARK}")
 
 
 class Parsed(NamedTuple):
@@ -60,31 +64,37 @@ def uri_of(title: str, lang: str) -> str:
 
 def _without_nested(text: str, opening: str, token: re.Pattern) -> str:
     """text without what stands between balanced marks; unclosed ones stay."""
-    out, stack, last = [], [], 0
-    spans = []
+    stack: list[int] = []
+    spans: list[tuple[int, int]] = []  # balanced ones that lie in no other
     for m in token.finditer(text):
         if m.group().strip(" \t:") == opening:
             stack.append(m.start())
         elif stack:
             start = stack.pop()
-            if not stack:
-                spans.append((start, m.end()))
-    if stack:  # the outermost stays open: what is balanced within it goes
-        inner, depth = [], []
-        for m in token.finditer(text):
-            if m.group().strip(" \t:") == opening:
-                depth.append(m.start())
-            elif depth:
-                inner.append((depth.pop(), m.end()))
-        spans = sorted(s for s in inner if not any(o[0] < s[0] and s[1] < o[1] for o in inner)) if len(inner) < 1000 else spans
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, m.end()))
+    out, last = [], 0
     for a, b in spans:
-        if a >= last:
-            out.append(text[last:a])
-            last = b
+        out.append(text[last:a])
+        last = b
     out.append(text[last:])
     return "".join(out)
 
 
+def _closings(text: str) -> dict[int, int]:
+    """For each `[[` that is closed, where it ends: the place of its `]]`."""
+    found: dict[int, int] = {}
+    stack: list[int] = []
+    if "[[" in text:
+        for m in _BRACKETS.finditer(text):
+            if m.group() == "[[":
+                stack.append(m.end())
+            elif stack:
+                found[stack.pop()] = m.start()
+    return found
+
+
 class _Scanner:
     def __init__(self, lang: str, kept: list[str]) -> None:
         self.lang, self.kept = lang, kept
@@ -92,94 +102,102 @@ class _Scanner:
         self.at = 0
         self.links: list[tuple[str, int, int]] = []
 
+    def plain(self, text: str) -> str:
+        """text with the kept pieces put back."""
+        return _KEEP.sub(lambda m: self.kept[int(m.group(1))], text) if _MARK in text else text
+
     def put(self, text: str) -> None:
-        if "" in text:
-            text = _KEEP.sub(lambda m: self.kept[int(m.group(1))] if int(m.group(1)) < len(self.kept) else "", text)
+        text = self.plain(text)
         if text:
             self.out.append(text)
             self.at += len(text)
 
     def inline(self, text: str, depth: int = 0) -> None:
+        if "[" in text or "&" in text or "<" in text or "''" in text or "]" in text:
+            self._part(text, 0, len(text), _closings(text), depth)
+        else:
+            self.put(text)
+
+    def _part(self, text: str, i: int, stop: int, closings: dict[int, int], depth: int) -> None:
+        """text[i:stop], in which brackets are matched as `closings` says."""
         if depth > MAX_DEPTH:
             self.put("Error - nesting is too deep")
             return
-        i = 0
+        search = _TOKEN.search
         while True:
-            m = _TOKEN.search(text, i)
+            m = search(text, i, stop)
             if not m:
-                self.put(text[i:])
+                self.put(text[i:stop])
                 return
             self.put(text[i : m.start()])
             t, i = m.group(), m.end()
             if t == "[[":
-                end = self._closing(text, i)
-                if end is None:
+                end = closings.get(i)
+                if end is None or end + 2 > stop:
                     self.put(t)
                 else:
-                    i = self._link(text, i, end, depth)
+                    i = self._link(text, i, end, stop, closings, depth)
             elif t == "]]":
                 self.put(t)
             elif t[0] == "[":
-                e = _EXTERNAL.match(text, m.start())
+                e = _EXTERNAL.match(text, m.start(), stop)
                 if not e:
                     self.put("[")
                     i = m.start() + 1
                 else:
                     i = e.end()
                     if e.group(2) and not _INTERWIKI.match(e.group(1)):
-                        self.inline(e.group(2), depth + 1)
+                        self._part(text, e.start(2), e.end(2), closings, depth + 1)
             elif t[0] == "&":
                 self.put(html.unescape(t))
             # quotes of bold and italic, and tags, leave nothing
 
-    @staticmethod
-    def _closing(text: str, i: int) -> int | None:
-        depth = 1
-        for m in re.compile(r"\[\[|\]\]").finditer(text, i):
-            depth += 1 if m.group() == "[[" else -1
-            if not depth:
-                return m.start()
-        return None
-
-    def _link(self, text: str, start: int, end: int, depth: int) -> int:
-        body, after = text[start:end], end + 2
-        if _IMAGE.match(body):
-            parts = _split_bars(body)[1:]
-            captions = [p for p in parts if not _IMAGE_OPTION.match(p)]
+    def _link(self, text: str, start: int, end: int, stop: int, closings: dict[int, int], depth: int) -> int:
+        after = end + 2
+        bar = text.find("|", start, end)
+        title_end = end if bar < 0 else bar
+        if _IMAGE.match(text, start, end):
+            captions = [p for p in _split_bars(text, start, end, closings)[1:] if not _IMAGE_OPTION.match(text, *p)]
             if captions:
-                self.inline(captions[-1], depth + 1)
+                self._part(text, *captions[-1], closings, depth + 1)
             return after
-        title, bar, label = body.partition("|")
-        title = html.unescape(title).strip()
+        title = html.unescape(text[start:title_end]).strip()
         if ":" in title:
             return after
-        if bar and not label.strip():  # the pipe trick
-            label = re.sub(r"\s*\([^)]*\)\s*$", "", title)
-        elif not bar:
-            label = title
-        trail = _TRAIL.match(text, after)
+        trail = _TRAIL.match(text, after, stop)
         begin = self.at
-        self.inline(label, depth + 1)
+        if bar >= 0 and not text[bar + 1 : end].isspace() and bar + 1 < end:
+            self._part(text, bar + 1, end, closings, depth + 1)
+        elif bar >= 0:  # the pipe trick
+            self.inline(re.sub(r"\s*\([^)]*\)\s*$", "", title), depth + 1)
+        elif "&" in title or "[[" not in title:
+            self.inline(title, depth + 1)
+        else:
+            while text[start].isspace():
+                start += 1
+            while text[end - 1].isspace():
+                end -= 1
+            self._part(text, start, end, closings, depth + 1)
         if trail:
             self.put(trail.group())
             after = trail.end()
-        page = title.partition("#")[0].strip().replace("_", " ")
-        if page:
+        page = self.plain(title).partition("#")[0].strip().replace("_", " ")
+        if page and "[[" not in page:  # no page's name has brackets
             self.links.append((uri_of(page[0].upper() + page[1:], self.lang), begin, self.at))
         return after
 
 
-def _split_bars(body: str) -> list[str]:
-    """Parts by bars that are not within an inner link."""
-    parts, depth, last = [], 0, 0
-    for m in re.finditer(r"\[\[|\]\]|\|", body):
+def _split_bars(text: str, start: int, end: int, closings: dict[int, int]) -> list[tuple[int, int]]:
+    """Parts of a link by bars that are not within an inner link."""
+    parts, last, at = [], start, start
+    while m := _BARS.search(text, at, end):
+        at = m.end()
         if m.group() == "|":
-            if not depth:
-                parts.append(body[last : m.start()])
-                last = m.end()
+            parts.append((last, m.start()))
+            last = at
         else:
-            depth += 1 if m.group() == "[[" else -1
-    return [*parts, body[last:]]
+            at = closings.get(at, at)
+    return [*parts, (last, end)]
 
 
 def parse_markup(markup: str | None, lang: str = "en") -> Parsed:
@@ -192,13 +210,18 @@ def parse_markup(markup: str | None, lang: str = "en") -> Parsed:
         kept.append(html.unescape(m.group(1) or ""))
         return _KEPT % (len(kept) - 1)
 
-    text = _KEEP.sub("", markup.replace("\r\n", "\n"))
-    text = _NOWIKI.sub(keep, text)
-    text = _COMMENT.sub("", text)
-    text = _GONE.sub("", _REF.sub("", text))
-    text = _without_nested(text, "{{", _PAIR)
-    text = _without_nested(text, "{|", _TABLE)
-    text = _MAGIC.sub("", text)
+    text = markup.replace("\r\n", "\n") if "\r" in markup else markup
+    text = text.replace(_MARK, "")
+    if "<" in text:
+        text = _NOWIKI.sub(keep, text)
+        text = _COMMENT.sub("", text)
+        text = _OTHER_WIKI.sub("", _GONE.sub("", _REF.sub("", text)))
+    if "{{" in text:
+        text = _without_nested(text, "{{", _PAIR)
+    if "{|" in text:
+        text = _without_nested(text, "{|", _TABLE)
+    if "__" in text:
+        text = _MAGIC.sub("", text)
 
     scan = _Scanner(lang, kept)
     headers: list[tuple[str, int, int]] = []
@@ -218,8 +241,9 @@ def parse_markup(markup: str | None, lang: str = "en") -> Parsed:
         paragraphs.append(("p", begin, scan.at))
         scan.put("\n")
 
-    for line in _joined_links(text.split("\n")):
-        heading = _HEADING.match(line)
+    listed = text.split("\n")
+    for line in _joined_links(listed) if "[[" in text else listed:
+        heading = _HEADING.match(line) if line.startswith("=") else None
         if heading:
             close()
             begin = scan.at

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cut_item, item_cap, path_has_no_loop
 
-#: Rows that a side may have to be sent to all tasks.
-BROADCAST_ROWS = 100_000
+#: Bytes that a side may have to be sent to all tasks.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a local one only where
-    none is named."""
+    """The checkpoint folder that the cluster names. A local one stands in only
+    where all runs on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusforge-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -33,11 +35,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replicated_join(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """A join that sends `small` to all tasks if it has at most `most` rows,
-    and else is left to the optimizer (a shuffled join)."""
-    few = small.limit(most + 1).count() <= most
-    return big.join(F.broadcast(small) if few else small, on, how)
+def size_of(df: DataFrame) -> int:
+    """About how many bytes the rows take: texts by their octets, the rest 16 each."""
+    parts = [F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes]
+    return df.agg(F.sum(sum(parts[1:], parts[0]).cast("long"))).first()[0] or 0
+
+
+def replicated_join(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """A join that sends `small` to all tasks if its rows take at most `most`
+    bytes, and else is left to the optimizer (a shuffled join).
+
+    `small` is computed once: measured and joined as it was written."""
+    small = cut_lineage(small)
+    return big.join(F.broadcast(small) if size_of(small) <= most else small, on, how)
+
+
+def merge_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of both sides sorted by the key, whatever their size."""
+    return left.hint("merge").join(right, on, how)
 
 
 def cogroup_counts(key: str, **inputs: tuple[DataFrame, Column | str, Column | str]) -> DataFrame:
@@ -87,16 +102,22 @@ def concat_grouped(df: DataFrame, keys: list[str], value: str, order: list[str],
 def aggregate_grouped(df: DataFrame, keys: list[str], text: str, order: list[str], name: str, count: str, size_limit: int = 100_000) -> DataFrame:
     """aggregate_texts() of each group's texts in the given order, and their count.
 
-    Only the texts that the limit lets in are collected: a running sum of the
-    cut lengths decides it before, so that a large group never is in memory.
-    Null texts are left out. A text's cap counts all texts of its group.
+    Only the texts that the limit lets in are collected. Groups are counted
+    first and texts cut to their cap. Running sums then decide, first over what
+    a group has in one task, then in 256 tasks, then over the rest: a large
+    group is never sorted whole by one task. Null texts are left out. A text's
+    cap counts all texts of its group.
     """
-    group = Window.partitionBy(*keys)
-    # any further ties do not matter: the rows are alike
-    before = group.orderBy(*order, text).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.filter(F.col(text).isNotNull()).withColumn(count, F.count(text).over(group))
-    rows = rows.withColumn("_cut", cut_item(F.col(text), item_cap(F.col(count), size_limit)))
-    rows = rows.withColumn("_before", F.coalesce(F.sum(F.length("_cut") + 1).over(before), F.lit(0))).filter(F.col("_before") < size_limit)
+    rows = df.filter(F.col(text).isNotNull())
+    n = rows.groupBy(*keys).agg(F.count("*").alias(count)).select(*[F.col(k).alias(f"_{k}") for k in keys], count)
+    rows = rows.join(n, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
+    cut = cut_item(F.col(text), item_cap(F.col(count), size_limit))
+    rows = rows.select(*keys, *[c for c in order if c not in keys and c != text], count, cut.alias("_cut"), F.spark_partition_id().alias("_part"))
+    # texts alike up to the cut are alike here
+    by = [c for c in order if c != text] + ["_cut"]
+    for part in (["_part"], [F.floor(F.col("_part") / 256)], []):
+        before = Window.partitionBy(*keys, *part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_before", F.coalesce(F.sum(F.length("_cut") + 1).over(before), F.lit(0))).filter(F.col("_before") < size_limit)
     kept = F.array_sort(F.collect_list(F.struct(F.col("_before"), F.col("_cut"))))
     return rows.groupBy(*keys).agg(F.max(count).alias(count), F.array_join(F.transform(kept, lambda r: r["_cut"]), " ").alias(name))
 

@@ -138,11 +138,18 @@ def human_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", text.human_readable(topic).alias("label"))
 
 
-@_query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\pL]+|[\p{Nd}]+|[^\s\pL\p{Nd}]'), lambda x: regexp_matches(x, '^[\pL]+$|^[\p{Nd}]+$'))) AS n_words FROM documents""")
+#: Runs of letters, digits or one sign; RE2 has no back references.
+_TOKEN = r"[\pL]+|[\p{Nd}]+|" + "|".join(f"[{chr(92)}{chr(k)}]+" for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "'") + "|[\'\']+|[^\\s\\pL\\p{Nd}]"
+
+
+def _sql_tokens(c: str) -> str:
+    return f"array_to_string(regexp_extract_all({c}, '{_TOKEN}'), ' ')"
+
+
+@_query(f"SELECT doc_id, {_sql_tokens('text')} AS tokens FROM documents")
 def tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many tokens are words or numbers (runs of other signs are one token)."""
-    words = F.filter(nlp.tokens("text"), lambda x: F.rlike(x, F.lit(r"^[\p{L}\p{Nd}]")))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"))
+    """The tokens of all texts."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(nlp.tokens("text"), " ").alias("tokens"))
 
 
 # --- sources and sinks ----------------------------------------------------------
@@ -165,11 +172,32 @@ def literal_triples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntriples.read_uri_literal(spark, path, "http://example.org/p", topics.RESOURCE)
 
 
-@_query(r"""SELECT doc_id, replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') AS escaped FROM documents WHERE regexp_full_match(text, '[\x00-\x7e]*')""")
+_ESCAPED = r"""array_to_string(list_transform(string_split(text, ''), lambda c: CASE
+  WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(9) THEN '\t' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r'
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN printf('\u%04X', unicode(c))
+  ELSE printf('\u%04X\u%04X', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) END), '')"""
+
+
+@_query(f"SELECT doc_id, {_ESCAPED} AS escaped FROM (SELECT doc_id, text || chr(128512) || chr(127) || chr(12) AS text FROM documents)")
 def escape_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are plain ASCII, escaped for N-Triples."""
-    docs = _t(spark, sf_dir, "documents").filter(F.rlike("text", F.lit(r"^[\x00-\x7e]*\z")))
-    return docs.select("doc_id", ntriples.escape_ascii(F.col("text")).alias("escaped"))
+    """All documents, with three rare signs behind each, escaped for N-Triples."""
+    return _t(spark, sf_dir, "documents").select("doc_id", ntriples.escape_ascii(F.concat("text", F.lit("\U0001f600\x7f\f"))).alias("escaped"))
+
+
+@_query("SELECT c_custkey::VARCHAR AS custkey, c_name || ' \"' || c_mktsegment || '\"' AS line, c_name || ' \"' || c_mktsegment || '\"' AS literal FROM customer")
+def multi_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One relation written as lines and as triples, both read again."""
+    name = F.concat("c_name", F.lit(' "'), "c_mktsegment", F.lit('"'))
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("custkey"), name.alias("name"))
+    path = f"{relational.shared_folder(spark)}/sinks-{uuid4().hex}"
+    tsv.write_all(
+        rows,
+        tsv=lambda df: tsv.write_tsv(df, f"{path}.tsv"),
+        nt=lambda df: ntriples.write_uri_literal(df, f"{path}.nt.gz", "http://example.org/p", topics.RESOURCE, "en"),
+    )
+    lines = tsv.read_tsv(spark, f"{path}.tsv", "custkey string, line string")
+    literals = ntriples.read_uri_literal(spark, f"{path}.nt.gz", "http://example.org/p", topics.RESOURCE)
+    return lines.join(literals, F.col("custkey") == F.col("subject")).select("custkey", "line", F.col("object").alias("literal"))
 
 
 @_query("SELECT c_custkey::VARCHAR AS custkey, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment FROM customer")
@@ -181,38 +209,83 @@ def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsv.read_tsv(spark, path, "custkey string, name string, segment string")
 
 
-def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the pages of a dump; each tenth leads to another page."""
-    docs = _t(spark, sf_dir, "documents")
-    title = F.concat("source", F.lit(" & "), F.col("doc_id").cast("string"))
-    body = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("#REDIRECT [["), "source", F.lit("]]"))).otherwise(F.col("text"))
+def _dump(pages: DataFrame, suffix: str = "") -> str:
+    """(title, markup) rows written as a dump; its path."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    page = F.concat(
-        F.lit("\n  <page>\n    <title>"), escape(title), F.lit('</title>\n    <revision>\n      <text xml:space="preserve">'), escape(body), F.lit("</text>\n    </revision>\n  ")
+    block = F.concat(
+        F.lit("  <page>\n    <title>"), escape("title"), F.lit('</title>\n    <revision>\n      <text xml:space="preserve">'), escape("markup"), F.lit("</text>\n    </revision>\n  </page>")
     )
-    return docs.select(page.alias("value"))
+    path = f"{relational.shared_folder(pages.sparkSession)}/dump-{uuid4().hex}.xml"
+    ntriples.write_lines(pages.select(block), path, {"": "none", ".bz2": "bzip2"}[suffix])
+    return path
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pages, and for each source a page that leads to it."""
+    docs = _t(spark, sf_dir, "documents")
+    pages = docs.select(F.concat("source", F.lit(" & "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("markup"))
+    moved = docs.select("source").distinct().select(F.concat(F.lit("To "), "source"), F.concat(F.lit("#REDIRECT [["), "source", F.lit("]]")))
+    return pages.union(moved)
 
 
 @_query(
-    f"""SELECT source || ' & ' || doc_id AS title, {_sql_uri("source || ' & ' || doc_id")} AS uri,
-CASE WHEN doc_id % 10 = 0 THEN '#REDIRECT [[' || source || ']]' ELSE text END AS markup FROM documents"""
+    f"""SELECT title, {_sql_uri("title")} AS uri, markup FROM (
+SELECT source || ' & ' || doc_id AS title, text AS markup FROM documents UNION ALL SELECT DISTINCT 'To ' || source, '#REDIRECT [[' || source || ']]' FROM documents)"""
 )
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wikidump.parse_pages(_dump(spark, sf_dir))
+    """A dump written to files and read again, in splits."""
+    return wikidump.read_wiki_raw(spark, _dump(_raw(spark, sf_dir)))
 
 
-@_query(f"""SELECT {_sql_uri("source || ' & ' || doc_id")} AS uri, {_sql_uri("source")} AS redirect FROM documents WHERE doc_id % 10 = 0""")
+@_query(f"""SELECT DISTINCT {_sql_uri("'To ' || source")} AS uri, {_sql_uri("source")} AS redirect FROM documents""")
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.redirects(wikidump.parse_pages(_dump(spark, sf_dir)))
+    return extract.extract_redirects(spark, _dump(_raw(spark, sf_dir), ".bz2"))
+
+
+#: What stands behind each text in parsed_pages(), and what of it is left, by paragraphs.
+_CASES = [
+    ('Of [[Category:Gone|this]][[fr:Gone]] links [[#part|inner]] stay.<ref name="a">gone [[no]]</ref><!-- [[no]] -->', "Of  links inner stay."),
+    ("[[File:a.png|thumb|200px|A caption with [[%s]] in it]]", "A caption with %s in it"),
+    ("{|\n| cell [[no]]\n{|\n| inner\n|}\n|}\n* item [[no]]\n# item\n; term : item", ""),
+    ("__NOTOC__An <b>'''inner'''</b> <span class=\"x\">tag</span>, {{no|{{no}}}}or [http://example.org/ outer label].", "An inner tag, or outer label."),
+    ('Not <a href="http://fr.wikipedia.org/wiki/No">this</a> nor [http://de.wikipedia.org/wiki/No this].', "Not  nor ."),
+]
+
+
+def _texts_with_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _linked_texts(spark, sf_dir)
+    more = "\n\n".join(c for c, _ in _CASES).split("%s")
+    markup = F.concat(F.lit("{{Infobox\n| a = {{b|[[no]]}}\n}}\n"), "markup", F.lit("\n\n" + more[0]), "source", F.lit(more[1]))
+    return docs.select("title", markup.alias("markup"))
+
+
+def _text_pages_sql() -> str:
+    kept = " || chr(10) || ".join("'" + k.replace("%s", "' || source || '") + "'" for _, k in _CASES if k)
+    return f"""WITH {_WORDS},
+    by_line AS (SELECT doc_id, any_value(source) AS source, line_no, string_agg(word, ' ' ORDER BY word_no) AS line, count_if(linked) AS n FROM words GROUP BY doc_id, line_no),
+    by_doc AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS body, count(*) AS lines, sum(n) AS links FROM by_line GROUP BY doc_id)
+    SELECT doc_id::VARCHAR AS title, {_sql_uri("doc_id::VARCHAR")} AS uri, source || chr(10) || chr(10) || coalesce(body, '') || {kept} || chr(10) AS text, NULL::VARCHAR AS redirect,
+      (coalesce(links, 0) + 1)::INT AS n_links, 1 AS n_headers, (coalesce(lines, 0) + {sum(bool(k) for _, k in _CASES)})::INT AS n_paragraphs
+    FROM documents LEFT JOIN by_doc USING (doc_id)
+    UNION ALL SELECT DISTINCT 'To ' || source, {_sql_uri("'To ' || source")}, '', {_sql_uri("source")}, 0, 0, 0 FROM documents"""
 
 
-@_query()
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as markup: its text and the number of its annotations."""
-    parsed = wikidump.parse_raw(wikidump.parse_pages(_dump(spark, sf_dir)))
+    """Whole texts as markup with links, and all that markup may have behind
+    them, through the files of a dump; and redirects."""
+    moved = _raw(spark, sf_dir).filter(F.startswith("title", F.lit("To ")))
+    parsed = wikidump.read_wiki_parsed(spark, _dump(_texts_with_cases(spark, sf_dir).union(moved)))
     return parsed.select("title", "uri", "text", "redirect", F.size("links").alias("n_links"), F.size("headers").alias("n_headers"), F.size("paragraphs").alias("n_paragraphs"))
 
 
+@_query("SELECT n_name AS title, 'Error - nesting is too deep' || chr(10) AS text, 257 AS n_links FROM nation")
+def markup_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links within links beyond what the scanner follows."""
+    deep = F.concat(F.repeat(F.concat(F.lit("[["), "n_name", F.lit("|")), F.lit(300)), "n_name", F.lit("]]" * 300))
+    raw = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), text.title_to_uri("n_name").alias("uri"), deep.alias("markup"))
+    return wikidump.parse_raw(raw).select("title", "text", F.size("links").alias("n_links"))
+
+
 def _tags(t: str) -> str:
     return f"regexp_extract_all(html, '(?is)<{t}(?:\\s[^>]*)?>(.*?)</{t}\\s*>', 1)"
 
@@ -392,43 +465,91 @@ def topic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- entities -------------------------------------------------------------------
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as markup of two sentences with a link each, and a list."""
+def _linked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pages with their whole text below a heading, each line
+    a paragraph in which each twelfth word links to the page of the source."""
     docs = _t(spark, sf_dir, "documents")
-    markup = F.concat(F.lit("== Head ==\nSee [["), "source", F.lit("]] now. Then [[lang page|"), "lang", F.lit("]] ends.\n* [[no]] link here\n"))
-    return docs.select(F.col("doc_id").cast("string").alias("title"), text.title_to_uri(F.col("doc_id").cast("string")).alias("uri"), markup.alias("markup"))
+    lines = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\r\f\x0B]+", " "), r" ?\n ?", "\n\n"))
+    linked = F.regexp_replace(lines, F.lit(r"((?:\S+ ){11})(\S+)"), F.concat(F.lit("$1[["), "source", F.lit("|$2]]")))
+    title = F.col("doc_id").cast("string")
+    return docs.select(title.alias("title"), text.title_to_uri(title).alias("uri"), F.concat(F.lit("== "), "source", F.lit(" ==\n"), linked).alias("markup"), "source")
+
+
+_SHORT = ", ".join(f"'{w}'" for w in sorted(nlp._SHORT))
+_CLOSE, _OPEN = """["''”’»)\\]]*""", """^["''“‘«(\\[]+"""
+#: The words of the pages' paragraphs, with their sentence and its begin: lines
+#: that begin as lists do are none; stops at the end of a word end a sentence
+#: before a word that begins with no small letter.
+_WORDS = rf"""
+lines AS (
+  SELECT doc_id, source, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no
+  FROM (SELECT doc_id, source, string_split(trim(regexp_replace(regexp_replace(text, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n ?', chr(10) || chr(10), 'g'), ' '), chr(10) || chr(10)) AS l FROM documents)
+),
+cut AS (SELECT doc_id, source, line_no, string_split(line, ' ') AS w FROM lines WHERE line <> '' AND NOT regexp_matches(line, '^[*#:;]|^----')),
+singly AS (SELECT doc_id, source, line_no, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS word_no FROM cut),
+beside AS (
+  SELECT *, regexp_extract(word, '([.!?…]+){_CLOSE}$', 1) AS stops, substr(regexp_replace(lead(word) OVER line, '{_OPEN}', ''), 1, 1) AS next,
+    regexp_extract(regexp_replace(word, '[.!?…]+{_CLOSE}$', ''), '[\pL\pN_.]*$') AS before,
+    coalesce(sum(length(word) + 1) OVER (line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM singly WINDOW line AS (PARTITION BY doc_id, line_no ORDER BY word_no)
+),
+ended AS (
+  SELECT *, (stops <> '' AND regexp_matches(coalesce(next, ''), '^[\pL\pN]') AND NOT regexp_matches(coalesce(next, ''), '^\p{{Ll}}')
+    AND NOT (stops = '.' AND (lower(before) IN ({_SHORT}) OR regexp_full_match(before, '\p{{Lu}}|(?:[A-Z]\.)+[A-Z]'))))::INT AS ends FROM beside
+),
+parts AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM ended),
+words AS (
+  SELECT doc_id, source, line_no, word_no, word, word_no % 12 = 0 AS linked, dense_rank() OVER (PARTITION BY doc_id ORDER BY line_no, part)::INT AS sentence_no,
+    (pos - min(pos) OVER (PARTITION BY doc_id, line_no, part))::INT AS pos FROM parts
+),
+sentences AS (SELECT doc_id, sentence_no, string_agg(word, ' ' ORDER BY word_no) AS sentence FROM words GROUP BY doc_id, sentence_no),
+links AS (
+  SELECT doc_id, source, sentence_no AS "sentenceOrder", sentence, {_sql_uri("upper(source[1]) || source[2:]")} AS "linkTarget", pos AS "linkBegin", pos + length(word)::INT AS "linkEnd"
+  FROM words JOIN sentences USING (doc_id, sentence_no) WHERE linked
+)"""
+_query(_text_pages_sql())(parsed_pages)
 
 
-_SENTENCES = f"""
-SELECT doc_id::VARCHAR AS title, 1 AS sentenceOrder, 'See ' || source || ' now.' AS sentence, {_sql_uri("upper(source[1]) || source[2:]")} AS linkTarget, 4 AS linkBegin, 4 + length(source) AS linkEnd FROM documents
-UNION ALL
-SELECT doc_id::VARCHAR, 2, 'Then ' || lang || ' ends.', 'http://en.wikipedia.org/wiki/Lang_page', 5, 5 + length(lang) FROM documents
-"""
+def _text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.page_sentences(wikidump.parse_raw(_linked_texts(spark, sf_dir)))
 
 
-@_query(_SENTENCES)
+@_query(f"""WITH {_WORDS} SELECT doc_id::VARCHAR AS title, * EXCLUDE (doc_id, source) FROM links""")
 def sentence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ner.page_sentences(wikidump.parse_raw(_marked(spark, sf_dir)))
+    return _text_sentences(spark, sf_dir)
 
 
-@_query(f"""SELECT {_sql_uri("title")} AS uri, sentenceOrder, sentence, linkTarget, linkBegin, linkEnd FROM ({_SENTENCES})""")
+@_query(f"""WITH {_WORDS} SELECT {_sql_uri("doc_id::VARCHAR")} AS uri, * EXCLUDE (doc_id, source) FROM links""")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.links(wikidump.parse_raw(_marked(spark, sf_dir)))
+    return extract.links(wikidump.parse_raw(_linked_texts(spark, sf_dir)))
 
 
-@_query("SELECT doc_id::VARCHAR AS title, 'Head' AS header, 'See ' || source || ' now. Then ' || lang || ' ends.' AS paragraph FROM documents")
+@_query(
+    f"""WITH {_WORDS}, paragraphs AS (SELECT doc_id, string_agg(word, CASE WHEN word_no = 1 THEN chr(10) ELSE ' ' END ORDER BY line_no, word_no) AS paragraphs FROM words GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS title, source AS headers, coalesce(paragraphs, '') AS paragraphs FROM documents LEFT JOIN paragraphs USING (doc_id)""".replace(
+        "string_agg(word, CASE WHEN word_no = 1 THEN chr(10) ELSE ' ' END ORDER BY line_no, word_no)", "substr(string_agg(CASE WHEN word_no = 1 THEN chr(10) ELSE ' ' END || word, '' ORDER BY line_no, word_no), 2)"
+    )
+)
 def annotated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands in the spans of headings and paragraphs."""
-    parsed = wikidump.parse_raw(_marked(spark, sf_dir))
-    return parsed.select("title", span_texts("text", "headers")[0].alias("header"), span_texts("text", "paragraphs")[0].alias("paragraph"))
+    """What stands in all headings and all paragraphs of the texts."""
+    parsed = wikidump.parse_raw(_linked_texts(spark, sf_dir))
+    return parsed.select("title", F.array_join(span_texts("text", "headers"), "\n").alias("headers"), F.array_join(span_texts("text", "paragraphs"), "\n").alias("paragraphs"))
+
+
+def _sql_merged(kind: str, order: str = "line_no, word_no") -> str:
+    """The tokens of words, with linked ones marked by the type."""
+    return f"string_agg(CASE WHEN linked THEN '<START:' || {kind} || '> ' || {_sql_tokens('word')} || ' <END>' ELSE {_sql_tokens('word')} END, ' ' ORDER BY {order})"
 
 
-@_query("""SELECT doc_id, '<START:person> src ' || source[4:] || ' <END> works at <START:language> ' || lang || ' <END> .' AS merged FROM documents""")
+@_query(
+    f"""WITH {_WORDS}, merged AS (SELECT doc_id, {_sql_merged("'link'")} AS m FROM words GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS title, {_sql_tokens('source')} || coalesce(' ' || m, '') AS merged FROM documents LEFT JOIN merged USING (doc_id)"""
+)
 def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
-    n = F.length("source")
-    spans = nlp.zip_spans(F.array(F.lit(0), n + 10), F.array(n, n + 10 + F.length("lang"), F.lit(7)), F.array(F.lit("person"), F.lit("language")))
-    return docs.select("doc_id", nlp.merge_annotations(F.concat("source", F.lit(" works at "), "lang", F.lit(".")), spans).alias("merged"))
+    """Whole texts with all their links merged in."""
+    parsed = wikidump.parse_raw(_linked_texts(spark, sf_dir))
+    kinds = F.transform("links", lambda x: F.lit("link"))
+    return parsed.select("title", nlp.merge_annotations("text", nlp.zip_spans("links.begin", "links.end", kinds)).alias("merged"))
 
 
 def _instances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -452,24 +573,27 @@ def article_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ner.article_types(*_instances(spark, sf_dir)).orderBy("wikiuri", "type")
 
 
-@_query(
-    f"""SELECT doc_id::VARCHAR AS title, 1 AS sentenceOrder, 'See <START:' || map {{'Person': 'person', 'Place': 'location', 'Drug': 'drug'}}[{_KINDS}] || '> src ' || source[4:] || ' <END> now .' AS annotated
-FROM documents WHERE {_KINDS} <> 'Nothing'"""
-)
+def _sql_annotated(kind: str, condition: str) -> str:
+    return f"""WITH {_WORDS} SELECT doc_id::VARCHAR AS title, sentence_no AS "sentenceOrder", {_sql_merged(kind, "word_no")} AS annotated
+    FROM words WHERE {condition} GROUP BY doc_id, sentence_no HAVING bool_or(linked)"""
+
+
+@_query(_sql_annotated(f"map {{'Person': 'person', 'Place': 'location', 'Drug': 'drug'}}[{_KINDS}]", f"{_KINDS} <> 'Nothing'"))
 def ner_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = ner.page_sentences(wikidump.parse_raw(_marked(spark, sf_dir)))
-    return ner.annotated_sentences(sentences, ner.article_types(*_instances(spark, sf_dir)), tsv.type_names(spark))
+    return ner.annotated_sentences(_text_sentences(spark, sf_dir), ner.article_types(*_instances(spark, sf_dir)), tsv.type_names(spark))
 
 
-@_query(f"""SELECT doc_id::VARCHAR AS title, 1 AS sentenceOrder, 'See <START:place> src ' || source[4:] || ' <END> now .' AS annotated FROM documents WHERE {_KINDS} = 'Place'""")
+@_query(_sql_annotated("'place'", f"{_KINDS} = 'Place'"))
 def ner_corpus_of_one_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = ner.page_sentences(wikidump.parse_raw(_marked(spark, sf_dir)))
-    return ner.annotated_with(sentences, ner.article_types(*_instances(spark, sf_dir)), tsv.ONTOLOGY + "Place", "place")
+    return ner.annotated_with(_text_sentences(spark, sf_dir), ner.article_types(*_instances(spark, sf_dir)), tsv.ONTOLOGY + "Place", "place")
 
 
-@_query(f"""SELECT linkTarget AS id, string_agg(sentence, ' ' ORDER BY title COLLATE C, sentenceOrder) AS text FROM ({_SENTENCES}) GROUP BY linkTarget""".replace(" COLLATE C", ""))
+@_query(
+    f"""WITH {_WORDS}, said AS (SELECT DISTINCT "linkTarget", doc_id::VARCHAR AS title, "sentenceOrder", sentence FROM links)
+SELECT "linkTarget" AS id, string_agg(sentence, ' ' ORDER BY title, "sentenceOrder") AS text FROM said GROUP BY "linkTarget\""""
+)
 def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ner.entity_contexts(ner.page_sentences(wikidump.parse_raw(_marked(spark, sf_dir))))
+    return ner.entity_contexts(_text_sentences(spark, sf_dir))
 
 
 @_query(f"SELECT c_custkey, n_name, label FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (VALUES (0, 'zero'), (1, 'one'), (2, 'two'), (3, 'three'), (4, 'four')) v(k, label) ON n_regionkey = k")
@@ -480,58 +604,11 @@ def typed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.replicated_join(rows, labels, "k").select("c_custkey", "n_name", "label")
 
 
-def _linked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as pages with their whole text below a heading, in which
-    each twelfth word links to the page of the source."""
-    docs = _t(spark, sf_dir, "documents")
-    page = F.concat(F.lit("$1[["), "source", F.lit("|$2]]$3"))
-    linked = F.regexp_replace(F.coalesce("text", F.lit("")), F.lit(r"(?<!\S)((?:\S++\s++){11})([\p{L}\p{N}]++)(\S*+)"), page)
-    markup = F.concat(F.lit("== "), "source", F.lit(" ==\n"), linked)
-    return docs.select(F.col("doc_id").cast("string").alias("title"), text.title_to_uri(F.col("doc_id").cast("string")).alias("uri"), markup.alias("markup"))
-
-
-def _text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ner.page_sentences(wikidump.parse_raw(_linked_texts(spark, sf_dir)))
-
-
-@_query()
-def text_sentence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_sentences(spark, sf_dir)
-
-
-@_query()
-def text_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.links(wikidump.parse_raw(_linked_texts(spark, sf_dir)))
-
-
-@_query()
-def text_annotated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands in all headings and all paragraphs of the texts."""
-    parsed = wikidump.parse_raw(_linked_texts(spark, sf_dir))
-    return parsed.select("title", span_texts("text", "headers").alias("headers"), span_texts("text", "paragraphs").alias("paragraphs"))
-
-
-@_query()
-def text_merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts with all their links merged in."""
-    parsed = wikidump.parse_raw(_linked_texts(spark, sf_dir))
-    spans = F.transform("links", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.lit("link").alias("type")))
-    return parsed.select("title", nlp.merge_annotations("text", spans).alias("merged"))
-
-
-@_query()
-def text_ner_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ner.annotated_sentences(_text_sentences(spark, sf_dir), ner.article_types(*_instances(spark, sf_dir)), tsv.type_names(spark))
-
-
-@_query()
-def text_ner_corpus_of_one_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ner.annotated_with(_text_sentences(spark, sf_dir), ner.article_types(*_instances(spark, sf_dir)), tsv.ONTOLOGY + "Place", "place")
-
-
-@_query()
-def text_entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ner.entity_contexts(_text_sentences(spark, sf_dir))
+@_query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def merge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides sorted by the key and merged."""
+    orders, customers = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    return relational.merge_join(orders, customers, orders.o_custkey == customers.c_custkey).select("o_orderkey", "c_name")
 
 
 # --- similarity -----------------------------------------------------------------
@@ -576,3 +653,22 @@ def bagged_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.bagging_categorize(_t(spark, sf_dir, "benchmark"), "item_id", similarity.index(_t(spark, sf_dir, "documents"), "doc_id"))
 
 
+@_query(
+    f"""WITH {_SIMILAR},
+terms AS (SELECT qid, term, count(*) AS tf FROM (SELECT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(text), '[\\pL\\pN]+'), lambda w: w NOT IN ({_STOPS}))) AS term FROM benchmark) GROUP BY qid, term)
+SELECT qid, term, round(tf * idf, 4) AS weight FROM terms JOIN weights USING (term) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(tf * idf, 9) DESC, term) <= 30"""
+)
+def interesting_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms by which benchmark items are looked up."""
+    weights = similarity.term_weights(similarity.index(_t(spark, sf_dir, "documents"), "doc_id"))
+    terms = similarity.interesting_terms(_t(spark, sf_dir, "benchmark"), "item_id", weights)
+    return terms.select("qid", "term", F.round("weight", 4).alias("weight"))
+
+
+@_query("SELECT n_name, replace(array_to_string(list_sort([n_name, r_name || ' / ' || n_name]), '|'), '_', ' ') AS paths FROM nation JOIN region ON n_regionkey = r_regionkey")
+def readable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of topics as labels, each once."""
+    names = [F.replace(_category(c), F.lit(" "), F.lit("_")) for c in ("r_name", "n_name")]
+    whole = F.concat(names[0], F.lit("/"), names[1])
+    paths = F.concat_ws(" ", whole, F.concat(F.lit("/"), names[1], F.lit("/")), F.lit(""), whole)
+    return _nations(spark, sf_dir).select("n_name", F.array_join(similarity.readable_paths(paths), "|").alias("paths"))

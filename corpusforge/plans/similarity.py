@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import human_readable
+from ..operators.relational import cut_lineage
 from ..sources.html import html_text
 
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -26,11 +27,13 @@ def analyse(text: Column | str) -> Column:
 def index(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Postings (id, term, tf, norm) of a relation's texts.
 
-    tf is the square root of the count, norm that of the inverse length.
+    tf is the square root of the count, norm that of the inverse length. They
+    are written once, for weights and scores are made of them.
     """
     words = df.select(F.col(key).alias("id"), analyse(text).alias("w"))
     rows = words.select("id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("c"), F.first("n").alias("n")).select("id", "term", F.sqrt("c").alias("tf"), (1 / F.sqrt("n")).alias("norm"))
+    counted = rows.groupBy("id", "term", "n").agg(F.count("*").alias("c"))
+    return cut_lineage(counted.select("id", "term", F.sqrt("c").alias("tf"), (1 / F.sqrt("n")).alias("norm")))
 
 
 def term_weights(postings: DataFrame, min_df: int = 1) -> DataFrame:
@@ -40,6 +43,7 @@ def term_weights(postings: DataFrame, min_df: int = 1) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("term", (1 + F.log(F.col("total") / (F.col("df") + 1))).alias("idf"))  # one row is sent
 
 
+
 def interesting_terms(queries: DataFrame, key: str, weights: DataFrame, text: str = "text", n_terms: int = 30, min_tf: int = 1) -> DataFrame:
     """(qid, term, idf, weight): each query's terms of largest tf * idf."""
     terms = queries.select(F.col(key).alias("qid"), F.explode(analyse(text)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("tf"))

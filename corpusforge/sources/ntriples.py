@@ -68,22 +68,20 @@ def parse_literal(token: Column, keep_plain: bool = False, wide: bool = False) -
 
 
 def _narrow(body: Column) -> Column:
-    """\\UXXXXXXXX as one or two \\uXXXX."""
-    wide = r"\\U[0-9A-Fa-f]{8}"
-    slashes = "\ue000\ue001"  # stands for two of them meanwhile
-    body = F.replace(body, F.lit("\\\\"), F.lit(slashes))
+    """\\UXXXXXXXX as one or two \\uXXXX; an escaped backslash before the U
+    begins no such escape."""
+    wide = r"\\(?:\\|U[0-9A-Fa-f]{8})"
 
     def pair(p: Column) -> Column:
         code = F.conv(F.substr(p, F.lit(3), F.lit(8)), 16, 10).cast("int")
         low = code - 0x10000
         unit = lambda c: F.concat(F.lit("\\u"), F.lpad(F.hex(c), 4, "0"))
         two = F.concat(unit(F.lit(0xD800) + F.shiftright(low, 10)), unit(F.lit(0xDC00) + low.bitwiseAND(F.lit(0x3FF))))
-        return F.when(code > 0xFFFF, two).otherwise(unit(code))
+        return F.when(F.length(p) == 2, p).when(code > 0xFFFF, two).otherwise(unit(code))
 
     hits = F.transform(F.regexp_extract_all(body, F.lit(wide), F.lit(0)), pair)
     parts = F.arrays_zip(F.split(body, wide, -1).alias("b"), hits.alias("p"))
-    joined = F.array_join(F.transform(parts, lambda x: F.concat(x["b"], F.coalesce(x["p"], F.lit("")))), "")
-    return F.replace(joined, F.lit(slashes), F.lit("\\\\"))
+    return F.array_join(F.transform(parts, lambda x: F.concat(x["b"], F.coalesce(x["p"], F.lit("")))), "")
 
 
 def parse_uri_literal(lines: DataFrame, property_uri: str | None = None, subject_ns: str | None = None, keep_plain: bool = False, wide: bool = False) -> DataFrame:

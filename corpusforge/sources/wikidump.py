@@ -14,15 +14,18 @@ from ..functions.text import let, redirect_target, title_to_uri, unescape_xml
 
 
 def _inside(page: Column, tag: str) -> Column:
-    """What stands in the first element of the name; null where it has no end tag."""
-    whole = F.regexp_extract(page, rf"(?s)<{tag}(?:\s[^>]*[^>/])?>.*?</{tag}>", 0)
-    end = F.lit(len(tag) + 3)
+    """What stands in the first element of the name; null where it has no end tag.
 
-    def content(v: Column) -> Column:
-        start = F.position(F.lit(">"), v)
-        return F.when(v != "", F.substr(v, start + 1, F.length(v) - start - end))
+    The pattern is for the start tag alone; what follows is cut by position.
+    """
+    start = F.regexp_instr(page, F.lit(rf"<{tag}(?:\s[^>]*[^>/])?>"))
+
+    def content(at: Column) -> Column:
+        rest = F.substr(page, at)
+        body = let(F.substring_index(rest, f"</{tag}>", 1), lambda v: F.substr(v, F.position(F.lit(">"), v) + 1))
+        return F.when((at > 0) & F.contains(rest, F.lit(f"</{tag}>")), body)
 
-    return let(whole, content)
+    return let(start, content)
 
 
 def read_wiki_raw(spark: SparkSession, path: str, lang: str | None = "en") -> DataFrame:

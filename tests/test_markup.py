@@ -23,6 +23,10 @@ def shown(markup, lang="en"):
         ("x [http://a.example label text] y [http://a.example] z", "x label text y  z\n", []),
         ("x [http://fr.wikipedia.org/wiki/Y translation] y", "x  y\n", []),
         ("x<ref>gone</ref> y<ref name='a'/> z<!-- no --> w", "x y z w\n", []),
+        ('x <a href="http://fr.wikipedia.org/wiki/Y">gone</a> <a href="http://a.example/wiki/Y">stays</a> y', "x  stays y\n", []),
+        ("[[File:a.png|thumb|one|two [[b|c]] three]]", "two c three\n", [("B", "c")]),
+        ("[[<nowiki>A|b</nowiki>|c]] d", "c d\n", [("A%7Cb", "c")]),
+        ("[[a [[b]] c]]", "a b c\n", [("B", "b")]),
         ("* item\n# item\n: item\n; item", "", []),
         ("{|\n| cell\n{|\n| inner\n|}\n|}\nafter", "after\n", []),
         ("[[File:a.png|thumb|200px|A [[cap|caption]] here]] text", "A caption here text\n", [("Cap", "caption")]),
@@ -64,3 +68,20 @@ def test_addresses_are_those_of_the_jvm(spark):
 
 def test_language():
     assert parse_markup("[[a]]", "fr").links[0][0] == "http://fr.wikipedia.org/wiki/A"
+
+
+@pytest.mark.parametrize("n", [1, 999, 1000, 5000])
+def test_balanced_templates_go_from_an_unclosed_one(n):
+    assert parse_markup("{{ open " + "{{a|{{b}}}} " * n).text == "{{ open" + " " * (n + 1) + "\n"
+
+
+@pytest.mark.parametrize(
+    "markup",
+    ["[[" * 100_000, "[[a|" * 50_000 + "x" + "]]" * 50_000, "[[" * 50_000 + "]]" * 50_000, "[[File:a|" * 50_000 + "]]" * 50_000, "{{" * 100_000, "{{" * 50_000 + "}}" * 50_000, "[" * 100_000, "<ref>" * 50_000],
+)
+def test_time_grows_with_the_length(markup):
+    import time
+
+    began = time.process_time()
+    parse_markup(markup)
+    assert time.process_time() - began < 5  # some tenths of a second; a square of the length takes minutes

@@ -105,7 +105,7 @@ def test_replicated_join_checks_the_size(spark):
     def hinted(df):
         return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
 
-    assert hinted(R.replicated_join(big, small, "k", most=10)) and not hinted(R.replicated_join(big, small, "k", most=9))
+    assert hinted(R.replicated_join(big, small, "k", most=160)) and not hinted(R.replicated_join(big, small, "k", most=159))
     assert R.replicated_join(big, small, "k", most=9).count() == 10
 
 
