@@ -24,17 +24,20 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is named."""
+    """The folder all executors share, as spark.checkpoint.dir or the context
+    names it. A local one stands in only where all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusforge-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
     Cuts the lineage: what was computed survives the loss of executors. The
@@ -42,7 +45,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,10 +72,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tree_sum(df: DataFrame, keys: list[str], **sums: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-
-
 def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of about `limit` bytes in column `at`.
 
@@ -187,6 +186,30 @@ def hash_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int =
     return h
 
 
+def hash_spans_twice(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hash_spans() beside a second, independent hash of each span."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    blocks = np.lib.stride_tricks.as_strided(padded, shape=(max(len(raw), 1), 8), strides=(1, 1))
+    size = end - begin
+    one = mix((size.astype(np.uint64) + np.uint64(2)) * _M1)
+    two = (size.astype(np.uint64) + np.uint64(3)) * _M3
+    todo = np.flatnonzero((size > 0) & (size <= _LONG))
+    at = 0
+    while len(todo):
+        part = np.ascontiguousarray(blocks[begin[todo] + at]).view(np.uint64).ravel()
+        left = size[todo] - at
+        part &= _MASKS[np.minimum(left, 8)]
+        one[todo] = mix((one[todo] ^ part) * _M1)
+        t = (two[todo] + part) * _M2
+        two[todo] = t ^ (t >> np.uint64(29))
+        todo = todo[left > 8]
+        at += 8
+    for i in np.flatnonzero(size > _LONG):
+        span = raw[begin[i] : end[i]].tobytes()
+        one[i], two[i] = xxhash.xxh3_64_intdigest(span, seed=1), xxhash.xxh3_64_intdigest(span, seed=2)
+    return one, two
+
+
 class Words:
     """The words of a batch of texts: byte spans, hashes, and each row's first word."""
 

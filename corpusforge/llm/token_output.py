@@ -12,30 +12,47 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _IS_SPACE, hash_spans, materialise, offsets, slices, table, text_buffer
+from ._common import _IS_SPACE, hash_spans_twice, materialise, offsets, slices, table, text_buffer
 
 VOCAB_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries after which a worker's unit cache starts anew (memory only).
-CACHE_UNITS = 120_000
+#: Units that a worker keeps (some 60 bytes each); beyond, the half used least goes.
+CACHE_UNITS = 1_000_000
 #: White space beyond ASCII can join units; such texts are encoded whole.
 _WIDE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 @lru_cache(maxsize=2)
 def _encoding(vocab_file: str):
+    """(tokenizer, length in bytes of each of its ids)."""
     import tiktoken
 
     with open(vocab_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = [len(k) for k in ranks]
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
+
+
+class _Units(NamedTuple):
+    """The units of a batch: where they begin, rows' offsets, each one's number
+    among the distinct ones, and of those the ids in one array."""
+
+    begin: np.ndarray
+    rows: np.ndarray
+    inverse: np.ndarray
+    ids: np.ndarray
+    offset: np.ndarray
+    length: np.ndarray
 
 
 class UnitEncoder:
@@ -43,16 +60,17 @@ class UnitEncoder:
 
     A unit is a white-space run with the word after it. The pattern never joins
     a word to the white space after it, so units are encoded apart with the same
-    ids as the text as a whole. Units are told apart by two 64-bit hashes.
+    ids as the text as a whole; new ones all at once, one after another. Units
+    are told apart by 128 bits of hash. What is known lies in flat arrays sorted
+    by hash; when they are full, the half that was used least goes.
     """
 
-    def __init__(self, vocab_file: str = VOCAB_FILE) -> None:
-        self.encode = _encoding(vocab_file).encode_ordinary
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[tuple[int, int], int] = {}
-        self.ids: list[list[int]] = []
+    def __init__(self, vocab_file: str = VOCAB_FILE, most: int = CACHE_UNITS) -> None:
+        self.encoding, self.size = _encoding(vocab_file)
+        self.encode, self.most = self.encoding.encode_ordinary, most
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.offset, self.length, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
 
     def unit_counts(self, units: list[str]) -> list[int]:
         """The number of ids of each unit, encoded apart."""
@@ -60,14 +78,11 @@ class UnitEncoder:
 
     def counts(self, col: pa.Array) -> np.ndarray:
         """The number of ids of each row."""
-        found = self._units(col)
-        if found is None:
-            return np.zeros(len(col), np.int64)
-        begin, rows, parts, inverse = found
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        stop = np.concatenate([[0], np.cumsum(length[inverse])])
-        n = np.diff(stop[np.searchsorted(begin, rows)])
-        for i in np.flatnonzero(_wide(col)):
+        wide = _wide(col)
+        u = self._units(_without(col, wide))
+        stop = np.concatenate([[0], np.cumsum(u.length[u.inverse])])
+        n = np.diff(stop[np.searchsorted(u.begin, u.rows)])
+        for i in np.flatnonzero(wide):
             n[i] = len(self.encode(col[int(i)].as_py()))
         return n
 
@@ -76,78 +91,118 @@ class UnitEncoder:
 
         A text whose white space may join units is one unit.
         """
-        found = self._units(col)
-        if found is None:
-            return np.zeros((0, 2), np.int64), np.zeros(len(col) + 1, np.int64)
-        begin, rows, parts, inverse = found
-        raw, _ = text_buffer(col)
-        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        end = np.append(begin[1:], len(raw))
-        out = np.stack([chars[end] - chars[begin], np.fromiter(map(len, parts), np.int64, len(parts))[inverse]], axis=1)
-        edge = np.searchsorted(begin, rows)
         wide = _wide(col)
-        if wide.any():
-            pieces = [out[edge[i] : edge[i + 1]] for i in range(len(col))]
-            for i in np.flatnonzero(wide):
-                text = col[int(i)].as_py()
-                pieces[i] = np.array([[len(text), len(self.encode(text))]], np.int64)
-            out = np.concatenate(pieces)
-            edge = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        return out, edge
+        plain = _without(col, wide)
+        u = self._units(plain)
+        raw, _ = text_buffer(plain)
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        end = np.append(u.begin[1:], len(raw))[: len(u.begin)]
+        out = np.stack([chars[end] - chars[u.begin], u.length[u.inverse]], axis=1)
+        whole = {}
+        for i in np.flatnonzero(wide).tolist():
+            text = col[i].as_py()
+            whole[i] = np.array([[len(text), len(self.encode(text))]], np.int64)
+        return _with_rows(out, np.searchsorted(u.begin, u.rows), whole)
 
     def batch(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of each row's ids)."""
-        found = self._units(col)
-        if found is None:
-            return np.zeros(0, np.uint32), np.zeros(len(col) + 1, np.int64)
-        begin, rows, parts, inverse = found
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((x for p in parts for x in p), np.uint32, int(length.sum()))
-        offset = np.cumsum(length) - length
-        size = length[inverse]
-        stop = np.cumsum(size)
-        out = flat[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - offset[inverse], size)]
-        edge = np.concatenate([[0], stop])[np.searchsorted(begin, rows)]
         wide = _wide(col)
-        if wide.any():
-            pieces = [out[edge[i] : edge[i + 1]] for i in range(len(col))]
-            for i in np.flatnonzero(wide):
-                pieces[i] = np.array(self.encode(col[int(i)].as_py()), np.uint32)
-            out = np.concatenate(pieces)
-            edge = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        return out, edge
+        u = self._units(_without(col, wide))
+        size = u.length[u.inverse]
+        stop = np.cumsum(size)
+        out = u.ids[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - u.offset[u.inverse], size)]
+        edge = np.concatenate([[0], stop])[np.searchsorted(u.begin, u.rows)]
+        return _with_rows(out, edge, {i: np.array(self.encode(col[i].as_py()), np.uint32) for i in np.flatnonzero(wide).tolist()})
 
-    def _units(self, col: pa.Array):
-        """Begins of units, rows' offsets, ids of distinct units, each unit's number."""
+    def _units(self, col: pa.Array) -> _Units:
         raw, rows = text_buffer(col)
         if not len(raw):
-            return None
+            none = np.zeros(0, np.int64)
+            return _Units(none, rows, none, self.ids, none, none)
         space = _IS_SPACE[raw]
         # a unit starts where white space follows a word, and with each row
         start = np.concatenate([[True], space[1:] & ~space[:-1]])
         start[rows[:-1][rows[:-1] < len(raw)]] = True
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(raw))
-        one = hash_spans(raw, begin, end, 1)
-        two = hash_spans(raw, begin, end, 2)
-        _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+        one, two = hash_spans_twice(raw, begin, end)
+        inverse, key = pd.factorize(one)
+        first = np.empty(len(key), np.int64)
+        first[inverse[::-1]] = np.arange(len(one) - 1, -1, -1)
         if (two[first][inverse] != two).any():  # a clash of 64 bits: tell apart by both
-            both = np.stack([one, two], axis=1)
-            _, first, inverse = np.unique(both, axis=0, return_index=True, return_inverse=True)
-            inverse = inverse.ravel()
-        if len(self.known) > CACHE_UNITS:
-            self._clear()
-        data = raw.tobytes()
-        slot = np.empty(len(first), np.int64)
-        known, ids, encode = self.known, self.ids, self.encode
-        for k, (i, a, b) in enumerate(zip(first.tolist(), one[first].tolist(), two[first].tolist(), strict=True)):
-            at = known.get((a, b))
-            if at is None:
-                at = known[a, b] = len(ids)
-                ids.append(encode(data[begin[i] : end[i]].decode("utf-8")))
-            slot[k] = at
-        parts = [ids[s] for s in slot.tolist()]
-        return begin, rows, parts, inverse
+            _, first, inverse = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True)
+            inverse, key = inverse.ravel(), one[first]
+        check = two[first]
+        place = np.searchsorted(self.key, key)
+        known = np.append(self.key, np.uint64(0))[place] == key
+        known &= np.append(self.check, np.uint64(0))[place] == check
+        known &= place < len(self.key)
+        offset, length = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        offset[known], length[known] = self.offset[place[known]], self.length[place[known]]
+        uses = np.bincount(inverse, minlength=len(key))
+        self.uses[place[known]] += uses[known]
+        fresh = np.flatnonzero(~known)
+        made, n = self._encode_all(raw, space, begin[first[fresh]], end[first[fresh]])
+        offset[fresh], length[fresh] = len(self.ids) + np.cumsum(n) - n, n
+        ids = np.concatenate([self.ids, made])
+        self._add(key[fresh], check[fresh], offset[fresh], n, uses[fresh], ids)
+        return _Units(begin, rows, inverse, ids, offset, length)
+
+    def _encode_all(self, raw: np.ndarray, space: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans, how many each has)."""
+        # only what begins with white space and ends with a word can stand in a row
+        joins = space[begin] & ~space[end - 1]
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * 2
+        n = np.zeros(len(begin), np.int64)
+        a, z = begin[joins], end[joins]
+        if len(a):
+            stop = np.cumsum(z - a)
+            data = raw[np.arange(stop[-1]) - np.repeat(stop - z, z - a)].tobytes().decode("utf-8")
+            got = np.array(self.encode(data), np.uint32)
+            done = np.cumsum(self.size[got])
+            edge = np.searchsorted(done, stop)
+            if (done[edge] == stop).all():
+                n[joins], parts[0] = np.diff(edge + 1, prepend=0), got
+            else:  # an id reaches over two spans: none may stand beside another
+                joins[:] = False
+        alone = [self.encode(raw[x:y].tobytes().decode("utf-8")) for x, y in zip(begin[~joins].tolist(), end[~joins].tolist(), strict=True)]
+        n[~joins] = [len(x) for x in alone]
+        flat = np.concatenate([parts[0], np.array([i for x in alone for i in x], np.uint32)])
+        # back into the order of the spans
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        at = np.empty(len(begin), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order]
+        stop = np.cumsum(n)
+        return flat[np.arange(len(flat)) - np.repeat(stop - n - at, n)], n
+
+    def _add(self, key: np.ndarray, check: np.ndarray, offset: np.ndarray, length: np.ndarray, uses: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        order = order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
+        place = np.searchsorted(self.key, key[order])
+        new = np.append(self.key, np.uint64(0))[place] != key[order]  # of units with one key, the first is kept
+        new |= place == len(self.key)
+        order, place = order[new], place[new]
+        self.key, self.check = np.insert(self.key, place, key[order]), np.insert(self.check, place, check[order])
+        self.offset, self.length = np.insert(self.offset, place, offset[order]), np.insert(self.length, place, length[order])
+        self.uses, self.ids = np.insert(self.uses, place, uses[order]), ids
+        if len(self.key) > self.most:
+            stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
+            n = self.length[stay]
+            stop = np.cumsum(n)
+            self.ids = ids[np.arange(stop[-1]) - np.repeat(stop - n - self.offset[stay], n)]
+            self.key, self.check, self.offset, self.length, self.uses = self.key[stay], self.check[stay], stop - n, n, self.uses[stay] // 2
+
+
+def _with_rows(out: np.ndarray, edge: np.ndarray, whole: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values by row, with those of some (so far empty) rows put in."""
+    if not whole:
+        return out, edge
+    pieces = [whole.get(i, out[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)]
+    return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+
+
+def _without(col: pa.Array, rows: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(rows), pa.scalar("", col.type), col) if rows.any() else col
 
 
 def _wide(col: pa.Array) -> np.ndarray:
