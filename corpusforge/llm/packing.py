@@ -22,41 +22,77 @@ from ._common import materialise, slices, table
 from .token_output import VOCAB_FILE, UnitEncoder
 
 CAPACITY = 2048
-#: Lengths are numbered in so many parts each, so that no length is one task's.
-PARTS = 32
+#: Pieces of one length that are numbered together, at most or so.
+PART_PIECES = 500_000
 
 Plan = list[tuple[list[tuple[int, int]], int]]
 
 
-def exact_combination(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
+class SumIndex:
+    """The lengths that are left, indexed by single, pair and triple sums.
+
+    A pair sum lists its pairs by their smaller length; a triple sum is a third
+    length with a pair sum. Pairs whose lengths have run out are passed over and
+    never looked at again, since counts only fall.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.left = counts.astype(np.int64)
+        self.has = np.flatnonzero(self.left)
+        top = len(self.left) - 1
+        small, large = (self.has[k] for k in np.triu_indices(len(self.has)))
+        total = small + large
+        ok = (small < large) | (self.left[small] > 1)
+        order = np.lexsort((small[ok], total[ok]))
+        self.small = small[ok][order]
+        #: Where each sum's pairs begin, and the first of them that may be left.
+        self.edge = np.searchsorted(total[ok][order], np.arange(2 * top + 2))
+        self.next = self.edge[:-1].copy()
+
+    def take(self, length: int, n: int) -> None:
+        self.left[length] -= n
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two lengths with this sum, the largest possible first."""
+        if not 0 < total < len(self.next):
+            return None
+        k, stop = int(self.next[total]), int(self.edge[total + 1])
+        if k < stop:
+            a = self.small[k:stop]
+            hit = np.flatnonzero((self.left[a] > (2 * a == total)) & (self.left[total - a] > 0))
+            self.next[total] = k = k + int(hit[0]) if len(hit) else stop
+        return (total - int(self.small[k]), int(self.small[k])) if k < stop else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three lengths with this sum, the least of them first that can be."""
+        third = self.has[: np.searchsorted(self.has, total // 3, side="right")]
+        third = third[total - third < len(self.next)]
+        third = third[(self.left[third] > 0) & (self.next[total - third] < self.edge[total - third + 1])]
+        for a in third.tolist():
+            pair = self.pair(total - a)
+            if pair and a in pair:  # one item of that length is in use already
+                pair = self._pair_beside(total - a, a)
+            if pair:
+                return (*pair, a)
+        return None
+
+    def _pair_beside(self, total: int, a: int) -> tuple[int, int] | None:
+        """A pair with this sum when one item of length a is in use as well."""
+        for k in range(int(self.next[total]), int(self.edge[total + 1])):
+            x = int(self.small[k])
+            y = total - x
+            if self.left[x] > (x == y) + (x == a) and self.left[y] > (x == y) + (y == a):
+                return y, x
+        return None
+
+
+def exact_combination(gap: int, index: SumIndex) -> tuple[int, ...] | None:
     """One, two or three available lengths with this sum; larger ones first."""
     if gap < 1:
         return None
-    if gap < len(left) and left[gap]:
+    if gap < len(index.left) and index.left[gap]:
         return (gap,)
-    pair = _pair(gap, left)
-    if pair:
-        return pair
-    for a in np.flatnonzero(left[: gap // 3 + 1]).tolist():
-        left[a] -= 1
-        pair = _pair(gap - a, left)
-        left[a] += 1
-        if pair:
-            return (*pair, a)
-    return None
-
-
-def _pair(total: int, left: np.ndarray) -> tuple[int, int] | None:
-    top = min(total - 1, len(left) - 1)
-    low = max(1, total - top)
-    if low > total // 2:
-        return None
-    small = np.arange(low, total // 2 + 1)
-    ok = (left[small] > 0) & (left[total - small] > 0)
-    if total % 2 == 0 and left[total // 2] < 2:
-        ok[-1] = False
-    hit = np.flatnonzero(ok)
-    return (total - int(small[hit[0]]), int(small[hit[0]])) if len(hit) else None
+    return index.pair(gap) or index.triple(gap)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -74,11 +110,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     if left[capacity]:
         made.append(([(capacity, 1)], int(left[capacity])))
         left[capacity] = 0
+    index = SumIndex(left)
+    left = index.left
     for size in range(capacity - 1, 0, -1):
         while left[size]:
-            left[size] -= 1
-            combo = exact_combination(capacity - size, left)
-            left[size] += 1
+            index.take(size, 1)
+            combo = exact_combination(capacity - size, index)
+            index.take(size, -1)
             if combo is None:
                 rest.append((size, int(left[size])))
                 left[size] = 0
@@ -88,7 +126,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
                 need[x] = need.get(x, 0) + 1
             times = min(int(left[x]) // k for x, k in need.items())
             for x, k in need.items():
-                left[x] -= times * k
+                index.take(x, times * k)
             made.append((sorted(need.items(), reverse=True), times))
     made += _best_fit(rest, capacity)
     return made
@@ -139,34 +177,43 @@ def token_lengths(docs: DataFrame, vocab_file: str = VOCAB_FILE) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> DataFrame:
+def _pieces(lengths: DataFrame, capacity: int) -> DataFrame:
+    last = F.floor((F.col("n_tokens") - 1) / capacity).cast("int")
+    cut = lengths.filter("n_tokens > 0").select("doc_id", "row", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    size = F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece").cast("long") * capacity)
+    return cut.select("doc_id", "row", "piece", size.cast("int").alias("size"))
+
+
+def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """Sequences of at most `capacity` tokens from (doc_id, n_tokens).
 
     Returns bin_id, doc_id, piece, doc_offset, bin_offset, n_tokens: one row a
     piece. A document longer than the capacity gives full pieces and a rest;
     one of no or null length gives no row. Each row of the input is packed once,
-    repeated and null doc_ids too. An empty table gives none.
+    repeated and null doc_ids too. An empty table gives none; other columns are
+    ignored.
+
+    The pieces of a length are numbered in parts of about part_pieces, so many
+    as its count asks for: by a number that rows get in being written first, so
+    that neither repeated nor null doc_ids share a part.
     """
     kind = lengths.schema["doc_id"].dataType.simpleString()
-    pieces = (
-        lengths.filter("n_tokens > 0")
-        .select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity).cast("int"))).alias("piece"))
-        .select(
-            "doc_id",
-            "piece",
-            F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece").cast("long") * capacity).cast("int").alias("size"),
-        )
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    )
-    # at most capacity * parts rows
-    seen = pieces.groupBy("size", "part").count().collect()
-    counts: dict[int, int] = {}
-    first = np.zeros((capacity + 1, parts), np.int64)
-    for r in seen:
-        first[r["size"], r["part"]] = r["count"]
-    totals = first.sum(axis=1)
-    first = np.cumsum(first, axis=1) - first
-    counts = {int(s): int(totals[s]) for s in np.flatnonzero(totals)}
+    rows = materialise(lengths.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row")), "lengths")
+    pieces = _pieces(rows, capacity)
+    # at most `capacity` rows
+    counts = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}
+    parts = np.ones(capacity + 1, np.int64)
+    for size, n in counts.items():
+        parts[size] = -(-n // part_pieces)
+    base = np.cumsum(parts) - parts
+    split = F.array(*[F.lit(int(x)) for x in parts])
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.get(split, F.col("size"))).cast("int"))
+    # a row for each part: the lengths, and one more for each part_pieces pieces
+    first = np.zeros(int(parts.sum()), np.int64)
+    for r in pieces.groupBy("size", "part").count().collect():
+        first[base[r["size"]] + r["part"]] = r["count"]
+    first = np.cumsum(first) - first
+    first -= np.repeat(first[base], parts)
     ranges: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
     bins = 0
@@ -183,26 +230,26 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, parts: int = PART
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             size = b["size"].to_numpy()
-            number = b["number"].to_numpy() + first[size, b["part"].to_numpy()]
+            number = b["number"].to_numpy() + first[base[size] + b["part"].to_numpy()]
             bin_id, at = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
             for s in np.unique(size).tolist():
                 rows = np.flatnonzero(size == s)
-                start, k, base, offset = look[s]
+                start, k, begin, offset = look[s]
                 r = np.searchsorted(start, number[rows], side="right") - 1
                 nth = number[rows] - start[r]
-                bin_id[rows] = base[r] + nth // k[r]
+                bin_id[rows] = begin[r] + nth // k[r]
                 at[rows] = offset[r] + nth % k[r] * s
             piece = b["piece"].to_numpy()
             yield pd.DataFrame({"bin_id": bin_id, "doc_id": b["doc_id"], "piece": piece, "doc_offset": piece.astype(np.int64) * capacity, "bin_offset": at, "n_tokens": size})
 
-    order = Window.partitionBy("size", "part").orderBy("doc_id", "piece")
+    order = Window.partitionBy("size", "part").orderBy("doc_id", "row", "piece")
     numbered = pieces.withColumn("number", F.row_number().over(order).cast("long") - 1)
     return numbered.mapInPandas(give, f"bin_id long, doc_id {kind}, piece int, doc_offset long, bin_offset long, n_tokens int")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocab_file: str = VOCAB_FILE) -> DataFrame:
     """pack_lengths() of the documents' token counts; other columns are ignored."""
-    return pack_lengths(materialise(token_lengths(docs, vocab_file), "lengths"), capacity)
+    return pack_lengths(token_lengths(docs, vocab_file), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

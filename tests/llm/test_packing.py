@@ -30,7 +30,7 @@ def test_exact_combination_is_found_whenever_there_is_one(counts, gap):
     brute = any(
         sum(c) == gap and all(n <= counts[s] for s, n in Counter(c).items()) for k in (1, 2, 3) for c in combinations_with_replacement(sorted(counts), k)
     )
-    got = P.exact_combination(gap, left)
+    got = P.exact_combination(gap, P.SumIndex(left))
     assert (got is not None) == brute
     if got:
         assert sum(got) == gap and all(n <= counts[s] for s, n in Counter(got).items())
@@ -63,11 +63,23 @@ def check(rows, lengths, capacity):
 def test_all_rows_are_packed(spark):
     rng = np.random.default_rng(3)
     lengths = [(int(i), int(n)) for i, n in enumerate(rng.integers(0, 250, 400))] + [(5, 40), (5, 40), (None, 33), (7, None)]
-    out = P.pack_lengths(spark.createDataFrame(lengths, "doc_id long, n_tokens long"), 100, 3).collect()
+    out = P.pack_lengths(spark.createDataFrame(lengths, "doc_id long, n_tokens long"), 100, 2).collect()
     n = check(out, lengths, 100)
     assert n <= 1.02 * sum(x or 0 for _, x in lengths) / 100 + 1
 
 
+def test_a_third_of_all_rows_alike_is_numbered_in_parts(spark):
+    lengths = [(7, 60)] * 300 + [(None, 40)] * 300 + [(i, 100) for i in range(300)]
+    out = P.pack_lengths(spark.createDataFrame(lengths, "doc_id long, n_tokens long"), 100, 50).collect()
+    assert check(out, lengths, 100) == 600
+
+
+def test_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = {r["doc_id"]: r["n_tokens"] for r in P.token_lengths(docs).collect()}
+    check(P.op10_packing(spark, "/root/testdata/sf0.001").collect(), list(n.items()), P.CAPACITY)
+
+
 def test_texts_with_odd_rows_and_clashing_columns(spark):
     rows = [(1, "a b c", 9, 9), (2, None, 9, 9), (3, "", 9, 9), (4, "word " * 3000, 9, 9)]
     out = P.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, size int, part int")).collect()
