@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import slices, table
+from ._common import materialise, slices, table
 from .token_output import VOCAB_FILE, UnitEncoder, pack_rows, unpack
 
 #: Units: the same cut as UnitEncoder makes; the first may lack white space.
@@ -167,9 +167,12 @@ def build_trees(docs: DataFrame, vocab_file: str = VOCAB_FILE, keep: list[str] |
 
     One row for each row of docs; a null text counts as empty and stays null.
     The tree holds its leaves, 2.5 bytes or so a unit; sums are made in reading.
-    Columns named in `keep` come along, all others are ignored.
+    Columns named in `keep` come along, all others are ignored; none of them
+    may have the name of one of the four. An empty table gives an empty one.
     """
     more = keep or []
+    if clash := {"doc_id", "text", "n_tokens", "tree"} & {c.lower() for c in more}:
+        raise ValueError(f"columns that the state has itself: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder(vocab_file)
@@ -184,10 +187,10 @@ def build_trees(docs: DataFrame, vocab_file: str = VOCAB_FILE, keep: list[str] |
     return plain.mapInArrow(run, schema)
 
 
-def _edited(texts: pa.Array, todo: pa.Array, encoder: UnitEncoder, leaves: Callable[[int], np.ndarray]) -> Iterator[tuple[int, CountedText, int]]:
+def _edited(texts: pa.Array, todo: list[tuple[int, list]], encoder: UnitEncoder, leaves: Callable[[int], np.ndarray]) -> Iterator[tuple[int, CountedText, int]]:
     """(row, text after its edits, how many they were) of rows that have edits."""
-    for i in np.flatnonzero(pc.list_value_length(todo).fill_null(0).to_numpy(zero_copy_only=False) > 0).tolist():
-        spans = [e for e in todo[i].as_py() if e and e["begin"] is not None and e["end"] is not None]
+    for i, listed in todo:
+        spans = [e for e in listed if e and e["begin"] is not None and e["end"] is not None]
         if not spans:
             continue
         doc = CountedText(texts[i].as_py() or "", encoder, leaves(i))
@@ -198,97 +201,96 @@ def _edited(texts: pa.Array, todo: pa.Array, encoder: UnitEncoder, leaves: Calla
         yield i, doc, len(spans)
 
 
-_APPLIED = "text string, n_tokens long, tree binary, n_tokens_before long, n_edits long, n_chars long, n_reencoded long"
-
-
-def apply_edits(state: DataFrame, edits: str = "edits", vocab_file: str = VOCAB_FILE) -> DataFrame:
+def apply_edits(state: DataFrame, edits: str | None = "edits", vocab_file: str = VOCAB_FILE, store: bool = True) -> DataFrame:
     """The state after each row's edits, with what they did.
 
     `edits` names a column of type EDITS: spans of characters of the text as it
     is before any of them, applied from the last begin to the first, those of
     one begin in their order in the array. A null entry, or one with a null begin
     or end, is left out; a null `new` deletes. Spans that overlap a later one
-    are cut at its begin. Returns doc_id, text, n_tokens and tree (the new
-    state), n_tokens_before, n_edits, n_chars (before) and n_reencoded, the
-    characters that were encoded anew. Rows without edits pass as they are.
+    are cut at its begin. None stands for redactions() of the text. Returns
+    doc_id, text, n_tokens and tree (the new state), n_tokens_before, n_edits,
+    n_chars (before) and n_reencoded, the characters that were encoded anew.
+    Rows without edits pass as they are. Without `store` text and tree are not
+    returned, and the tree of a row without edits is never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder(vocab_file)
         for b in slices(batches, 1):
-            texts, before, trees, todo = b.column(1), b.column(2).to_numpy(), b.column(3), b.column(4)
+            texts, before, trees = b.column(1), b.column(2).to_numpy(), b.column(3)
+            if edits is None:
+                todo = list(redactions(texts).items())
+            else:
+                n = pc.list_value_length(b.column(4)).fill_null(0).to_numpy(zero_copy_only=False)
+                todo = [(i, b.column(4)[i].as_py()) for i in np.flatnonzero(n > 0).tolist()]
             after, redone, number = before.copy(), np.zeros(len(before), np.int64), np.zeros(len(before), np.int64)
             changed: dict[int, tuple[str, bytes]] = {}
             for i, doc, n in _edited(texts, todo, encoder, lambda i: _loaded(trees[i].as_py())):  # noqa: B023
                 after[i], redone[i], number[i] = doc.n_tokens, doc.reencoded, n
-                leaves = doc.tree.levels[0]
-                changed[i] = (doc.text, _stored(leaves, np.array([0, len(leaves)]))[0].as_py())
+                if store:
+                    leaves = doc.tree.levels[0]
+                    changed[i] = (doc.text, _stored(leaves, np.array([0, len(leaves)]))[0].as_py())
             chars = pc.utf8_length(texts).fill_null(0).cast(pa.int64())
             if changed:
                 mask = np.zeros(len(before), bool)
                 mask[list(changed)] = True
                 texts, trees = (pc.replace_with_mask(c, pa.array(mask), pa.array([changed[i][k] for i in sorted(changed)], c.type)) for k, c in enumerate((texts, trees)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), texts, pa.array(after), trees, pa.array(before), pa.array(number), chars, pa.array(redone)],
-                names=["doc_id", "text", "n_tokens", "tree", "n_tokens_before", "n_edits", "n_chars", "n_reencoded"],
-            )
+            own = {"text": texts, "tree": trees} if store else {}
+            made = {"doc_id": b.column(0), "n_tokens": pa.array(after), **own, "n_tokens_before": pa.array(before), "n_edits": pa.array(number), "n_chars": chars, "n_reencoded": pa.array(redone)}
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     kind = state.schema["doc_id"].dataType.simpleString()
-    return state.select("doc_id", "text", "n_tokens", "tree", F.col(edits).cast(EDITS).alias("e")).mapInArrow(run, f"doc_id {kind}, {_APPLIED}")
+    more = [F.col(edits).cast(EDITS).alias("e")] if edits else []
+    schema = f"doc_id {kind}, n_tokens long, {'text string, tree binary, ' if store else ''}n_tokens_before long, n_edits long, n_chars long, n_reencoded long"
+    return state.select("doc_id", "text", "n_tokens", "tree", *more).mapInArrow(run, schema)
 
 
 def edited_counts(docs: DataFrame, edits: str = "edits", vocab_file: str = VOCAB_FILE) -> DataFrame:
     """doc_id, n_tokens, n_tokens_after, n_edits, n_chars, n_reencoded for each
-    row of docs: trees are built and edits applied in one pass that stores
-    neither; see apply_edits()."""
+    row of docs: its trees are built and written to the shared folder, the edits
+    are applied to what is read from there; see apply_edits(), whose new state
+    is not kept."""
+    trees = materialise(build_trees(docs, vocab_file, [edits]), "trees", "zstd")
+    return _counts_only(apply_edits(trees, edits, vocab_file, store=False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(vocab_file)
-        for b in slices(batches, 1):
-            texts = b.column(1)
-            leaves, edge = encoder.leaves(texts)
-            before = np.diff(np.concatenate([[0], np.cumsum(leaves[:, 1])])[edge])
-            after, redone, number = before.copy(), np.zeros(len(before), np.int64), np.zeros(len(before), np.int64)
-            for i, doc, n in _edited(texts, b.column(2), encoder, lambda i: leaves[edge[i] : edge[i + 1]]):  # noqa: B023
-                after[i], redone[i], number[i] = doc.n_tokens, doc.reencoded, n
-            chars = pc.utf8_length(texts).fill_null(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(before), pa.array(after), pa.array(number), chars, pa.array(redone)],
-                names=["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_chars", "n_reencoded"],
-            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, n_tokens_after long, n_edits long, n_chars long, n_reencoded long"
-    return docs.select("doc_id", F.col("text").cast(T.StringType()).alias("text"), F.col(edits).cast(EDITS).alias("e")).mapInArrow(run, schema)
+def _counts_only(applied: DataFrame) -> DataFrame:
+    return applied.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "n_edits", "n_chars", "n_reencoded")
+
+
+def redactions(texts: pa.Array, pattern: str = REDACTED, new: str = "[redacted]") -> dict[int, list[dict]]:
+    """For each row in which the pattern (ASCII classes) stands, its matches as edits."""
+    hit = pc.match_substring_regex(texts, pattern).fill_null(False).to_numpy(zero_copy_only=False)
+    look = re.compile(pattern, re.ASCII)
+    return {i: [{"begin": m.start(), "end": m.end(), "new": new} for m in look.finditer(texts[i].as_py())] for i in np.flatnonzero(hit).tolist()}
 
 
 def with_redactions(docs: DataFrame, pattern: str = REDACTED, new: str = "[redacted]") -> DataFrame:
-    """doc_id, text and an `edits` column: the matches of the pattern, replaced.
+    """doc_id, text and an `edits` column (type EDITS): the matches of the
+    pattern, replaced; null where there are none. Other columns are ignored."""
 
-    Spans come from the pieces between matches, in the JVM.
-    """
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
-    between = F.split(F.coalesce("text", F.lit("")), pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {EDITS})").alias("e"))
-    edits = F.aggregate(
-        F.arrays_zip(F.slice(F.col("_between"), F.lit(1), F.size("_found")).alias("gap"), F.col("_found").alias("hit")),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                acc["e"],
-                F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("begin"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.lit(new).alias("new"))),
-            ).alias("e"),
-        ),
-        lambda acc: acc["e"],
-    )
-    cut = docs.select("doc_id", "text", found.alias("_found"), between.alias("_between"))
-    return cut.select("doc_id", "text", F.when(F.size("_found") > 0, edits).alias("edits"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("new", pa.string())]))
+        for b in slices(batches, 1):
+            found = redactions(b.column(1), pattern, new)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([found.get(i) for i in range(b.num_rows)], kind)], names=["doc_id", "text", "edits"])
+
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, edits {EDITS}")
+
+
+def redacted_counts(docs: DataFrame, vocab_file: str = VOCAB_FILE) -> DataFrame:
+    """edited_counts() of with_redactions(), whose spans are looked for in the
+    pass that applies them."""
+    trees = materialise(build_trees(docs, vocab_file), "trees", "zstd")
+    return _counts_only(apply_edits(trees, None, vocab_file, store=False))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document, before and after redacting personal data."""
-    return edited_counts(with_redactions(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Token counts of every document, before and after redacting personal data:
+    trees are built and stored, and the edits applied to the stored state."""
+    return redacted_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op9_token_counts": op9_token_counts}
