@@ -1,34 +1,43 @@
 """Operator 7: maximal repeats from prefix-partitioned suffix trees.
 
-The suffixes that can begin a repeat (those near an anchor of another text) are
-split into groups by prefixes of variable length: counts by two-word prefixes
-come first, and a prefix with more suffixes than fit is split by four words,
-then eight, and so on; small neighbours share a group. A group is sorted in
-memory, which gives its subtree down to `words` words: the nodes there (runs of
-equal suffixes) with their children (by the next word) and their left words. A
-node with one left word only goes on at the node of the suffix one word longer
-to the left, one with one child only at its suffix link; so repeats are followed
-from node to node, and end where left or right words differ: there they are
-maximal. A run of words with more places than fit has its node found by sorts
-that spill to disk.
+Suffixes are those that can begin a repeat (near an anchor of another text).
+
+*To `words` words.* Counts by two-word prefixes come first; a prefix with more
+suffixes than fit is split by four words, then eight, and so on; small
+neighbours share a group. A group comes sorted, which gives its subtree down to
+`words` words: the nodes there (runs of equal suffixes) with their children (by
+the next word) and their left words. A run of words with more places than fit
+is counted by aggregation instead.
+
+*Below.* Between two nodes at which something begins, ends or branches, all
+places of a run go on alike: such stretches are the letters of what is left of
+the trees, and texts are chains of them, each distinct chain once. Letters are
+dealt to tasks by the least chain that has them, so that chains alike meet; a
+task sorts the suffixes of its chains by prefix doubling, which gives the inner
+nodes of its subtrees with their true depth.
+
+An inner node that stands in two texts and whose left words differ is a maximal
+repeat. There are no more of them than suffixes, however they lie in each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._anchors import MIN_WORDS, SEED_WORDS, copies, near_anchors, repeated_texts, with_tid, word_counts
-from ._common import SPACE_RE, Words, joined, materialise, slices, table, window_names
+from ._anchors import MIN_WORDS, SEED_WORDS, near_anchors, repeated_texts, with_tid, word_counts
+from ._common import SPACE_RE, Words, hash_spans, joined, materialise, slices, table, window_names
 
 #: Suffixes that a group holds at most (some 40 bytes each), if prefixes can split it.
 GROUP_SUFFIXES = 250_000
-_BITS = 12
+#: Letters of chains that a task gets, or so.
+TASK_LETTERS = 200_000
+#: Buckets of prefixes of one length: what the driver and the tasks hold of them.
+_BITS = 16
 
 
 def _levels(words: int) -> list[int]:
@@ -40,31 +49,24 @@ def _levels(words: int) -> list[int]:
 
 
 class Prefixes:
-    """The trie that gives each suffix its group.
+    """The groups of suffixes by hashed prefixes of growing length.
 
-    nodes[k] has for each bucket of the next prefix length the group's number,
-    or -1 - m where node m splits it further.
+    tables[k] has for each bucket of the k-th prefix length the group's number,
+    or -1 where the next length splits it. What no length splits is of no group.
     """
 
     def __init__(self) -> None:
-        self.nodes: list[np.ndarray] = [np.full(1 << _BITS, -1, np.int64)]
+        self.tables: list[np.ndarray] = []
         self.groups = 0
-        #: Groups of one run that no prefix can split and that do not fit.
-        self.large: list[int] = []
-
-    def walk(self, names: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(group or -1, node reached) of suffixes, whose buckets by level are given."""
-        node = np.zeros(len(names[0]), np.int64)
-        group = np.full(len(node), -1, np.int64)
-        open_ = np.arange(len(node))
-        stack = np.stack(self.nodes)
-        for level in range(depth):
-            to = stack[node[open_], names[level][open_]]
-            done = to >= 0
-            group[open_[done]] = to[done]
-            open_, to = open_[~done], to[~done]
-            node[open_] = -1 - to
-        return group, node
+        self.large = False
+
+    def walk(self, names: list[np.ndarray]) -> np.ndarray:
+        """The group, or -1, of suffixes whose buckets by length are given."""
+        group = np.full(len(names[0]), -1, np.int64)
+        for to, name in zip(self.tables, names, strict=False):
+            left = np.flatnonzero(group < 0)
+            group[left] = to[name[left]]
+        return group
 
 
 def _buckets(h: np.ndarray, at: np.ndarray, levels: list[int]) -> list[np.ndarray]:
@@ -72,50 +74,43 @@ def _buckets(h: np.ndarray, at: np.ndarray, levels: list[int]) -> list[np.ndarra
 
 
 def split_prefixes(one: DataFrame, words: int, seed: int, most: int = GROUP_SUFFIXES) -> Prefixes:
-    """Count the suffixes of all texts by prefix; split and join to groups."""
+    """Count the suffixes of all texts by prefix; split and join to groups.
+
+    Groups hold at most `most` suffixes, or four times the mean of a bucket.
+    """
     levels = _levels(words)
-    trie, todo = Prefixes(), [0]
-    trie.nodes = [np.full(1 << _BITS, -1, np.int64)]
+    trie = Prefixes()
     for depth in range(1, len(levels) + 1):
-        nodes, goal = [n.copy() for n in trie.nodes], list(todo)
 
-        def run(batches: Iterator[pa.RecordBatch], depth=depth, nodes=nodes, goal=goal) -> Iterator[pa.RecordBatch]:
-            own = Prefixes()
-            own.nodes = nodes
-            total: dict[int, np.ndarray] = {k: np.zeros(1 << _BITS, np.int64) for k in goal}
+        def run(batches: Iterator[pa.RecordBatch], depth=depth) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << _BITS, np.int64)
             for b in slices(batches, 1):
                 w = Words(b.column(1))
                 at = near_anchors(w, b.column(2), words, seed)
                 names = _buckets(w.hash, at, levels[:depth])
-                group, node = own.walk(names, depth - 1) if depth > 1 else (np.full(len(at), -1), np.zeros(len(at), np.int64))
-                for k in goal:
-                    total[k] += np.bincount(names[depth - 1][(group < 0) & (node == k)], minlength=1 << _BITS)
-            keys = np.repeat(np.array(goal, np.int64), 1 << _BITS) << _BITS | np.tile(np.arange(1 << _BITS), len(goal))
-            n = np.concatenate([total[k] for k in goal])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 0]), pa.array(n[n > 0])], names=["key", "n"])
-
-        got = one.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-        counts = {k: np.zeros(1 << _BITS, np.int64) for k in todo}
-        for r in got:
-            counts[r["key"] >> _BITS][r["key"] & ((1 << _BITS) - 1)] = r["n"]
-        fresh = []
-        for k in todo:
-            held = most  # a group is never shared by two nodes
-            for bucket, n in enumerate(counts[k].tolist()):
-                if n > most and depth < len(levels):
-                    trie.nodes.append(np.full(1 << _BITS, -1, np.int64))
-                    fresh.append(len(trie.nodes) - 1)
-                    trie.nodes[k][bucket] = -1 - fresh[-1]
-                    continue
-                if held + n > most:
-                    trie.groups, held = trie.groups + 1, 0
-                trie.nodes[k][bucket] = trie.groups - 1
-                held += n
-                if n > most:
-                    trie.large.append(trie.groups - 1)
-        todo = fresh
-        if not todo:
-            break
+                total += np.bincount(names[-1][trie.walk(names) < 0], minlength=1 << _BITS)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+        got = one.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(1 << _BITS, np.int64)
+        counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        if depth == 1:
+            fits = max(most, int(counts.sum()) * 4 >> _BITS)
+        to, held = np.full(1 << _BITS, -1, np.int64), fits
+        last = depth == len(levels)
+        for bucket in np.flatnonzero(counts).tolist():
+            n = int(counts[bucket])
+            if n > (most if last else fits):  # nodes of one run must fit in memory whatever the groups
+                continue
+            if held + n > fits:
+                trie.groups, held = trie.groups + 1, 0
+            to[bucket] = trie.groups - 1
+            held += n
+        trie.tables.append(to)
+        if not (counts[to < 0] > 0).any():
+            return trie
+    trie.large = True
     return trie
 
 
@@ -126,7 +121,7 @@ def _emit(words: int, seed: int, trie: Prefixes):
         for b in slices(batches, 1):
             w = Words(b.column(1))
             at = near_anchors(w, b.column(2), words, seed)
-            group, _ = trie.walk(_buckets(w.hash, at, levels), len(levels))
+            group = trie.walk(_buckets(w.hash, at, levels[: len(trie.tables)]))
             # words beside the suffix, in half a name each; 0 at a text's edge
             half = (w.hash >> np.uint64(32)) | np.uint64(1)
             row = w.row[at]
@@ -144,11 +139,25 @@ def _emit(words: int, seed: int, trie: Prefixes):
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of the groups of one task at which a repeat begins or ends."""
-    got = [[c.to_numpy() for c in b.columns[1:]] for b in batches if b.num_rows]
-    if not got:
-        return
-    name, tid, at, beside = (np.concatenate(x) for x in zip(*got, strict=True))
+    """The nodes at which a repeat begins or ends; suffixes come sorted by name."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([c.to_numpy() for c in b.columns[1:]])
+        size += b.num_rows
+        if size >= GROUP_SUFFIXES:
+            x = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(x[0], x[0][-1]))  # the last run may go on
+            held, size = [[c[cut:] for c in x]], size - cut
+            if cut:
+                yield from _nodes_of(*(c[:cut] for c in x))
+    if size:
+        yield from _nodes_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _nodes_of(name: np.ndarray, tid: np.ndarray, at: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
     beside = beside.view(np.uint64)
     right, left = beside & np.uint64(0xFFFFFFFF), beside >> np.uint64(32)
     order = np.lexsort((right, name))
@@ -158,292 +167,343 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def of(flag: np.ndarray):
         start = np.flatnonzero(flag)
-        return start, np.cumsum(flag) - 1, np.minimum.reduceat(tid, start) < np.maximum.reduceat(tid, start), np.diff(np.append(start, len(tid)))
+        return start, np.cumsum(flag) - 1, np.minimum.reduceat(tid, start) < np.maximum.reduceat(tid, start)
 
-    start, node, shared, n = of(new)
+    start, node, shared = of(new)
     low, high = np.minimum.reduceat(left, start), np.maximum.reduceat(left, start)
     begins = (low != high) | (low == 0)
     low, high = np.minimum.reduceat(right, start), np.maximum.reduceat(right, start)
     ends = (low != high) | (low == 0)
-    _, edge, goes_on, n_child = of(child)
+    _, edge, goes_on = of(child)
     keep = np.flatnonzero(shared[node] & (begins | ends)[node])
     k, e = node[keep], edge[keep]
     on = goes_on[e] & (right[keep] != 0)
     flags = begins[k].astype(np.int8) | ends[k].astype(np.int8) << 1 | (on & ends[k]).astype(np.int8) << 2
-    next_name = joined(name[keep].view(np.uint64), right[keep]).view(np.int64)
+    cols = tid[keep], at[keep], flags, name[keep], joined(name[keep].view(np.uint64), right[keep]).view(np.int64)
     for a in range(0, len(keep), 100_000):
-        z = slice(a, a + 100_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[z]) for x in (tid[keep], at[keep], flags, name[keep], n[k].astype(np.int32), next_name, n_child[e].astype(np.int32))],
-            names=["tid", "at", "flags", "id", "n", "next_id", "next_n"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in cols], names=_NODE)
+
+
+_NODE = ["tid", "at", "flags", "id", "next_id"]
+_NODE_SCHEMA = "tid long, at int, flags byte, id long, next_id long"
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a next word, as the name of the run with it."""
+    for b in batches:
+        name, right = b.column(3).to_numpy().view(np.uint64), b.column(4).to_numpy().view(np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(joined(name, right).view(np.int64))], names=_NODE)
 
 
 def _large_nodes(suffixes: DataFrame) -> DataFrame:
-    """_nodes() of groups that do not fit in memory: by sorts that spill."""
-    right, left = F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("beside", 32)
-    node, child = Window.partitionBy("name"), Window.partitionBy("name", "right")
-    rows = suffixes.withColumns({"right": right, "left": left})
-    at_node = {"t0": F.min("tid"), "t1": F.max("tid"), "l0": F.min("left"), "l1": F.max("left"), "r0": F.min("right"), "r1": F.max("right"), "n": F.count("*")}
-    at_child = {"c0": F.min("tid"), "c1": F.max("tid"), "m": F.count("*")}
-    rows = rows.withColumns({k: f.over(node) for k, f in at_node.items()} | {k: f.over(child) for k, f in at_child.items()})
+    """_nodes() of groups that do not fit in memory: by partial sums, which are
+    joined to the suffixes again."""
+    rows = suffixes.withColumns({"right": F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF)), "left": F.shiftrightunsigned("beside", 32)})
+    child = rows.groupBy("name", "right").agg(F.min("tid").alias("c0"), F.max("tid").alias("c1"), F.min("left").alias("l0"), F.max("left").alias("l1"))
+    node = child.groupBy("name").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1"), F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.min("right").alias("r0"), F.max("right").alias("r1"))
     begins, ends = (F.col("l0") != F.col("l1")) | (F.col("l0") == 0), (F.col("r0") != F.col("r1")) | (F.col("r0") == 0)
-    goes = ends & (F.col("c0") < F.col("c1")) & (F.col("right") != 0)
-    flags = begins.cast("int") + F.lit(2) * ends.cast("int") + F.lit(4) * goes.cast("int")
-    kept = rows.filter((F.col("t0") < F.col("t1")) & (begins | ends))
-    return kept.select(
-        "tid", "at", flags.cast("byte").alias("flags"), F.col("name").alias("id"), F.col("n").cast("int").alias("n"), F.xxhash64("name", "right").alias("next_id"), F.col("m").cast("int").alias("next_n")
-    )
+    node = node.filter((F.col("t0") < F.col("t1")) & (begins | ends)).select("name", begins.alias("begins"), ends.alias("ends"))
+    known = child.join(node, "name").select("name", "right", "begins", "ends", ((F.col("c0") < F.col("c1")) & (F.col("right") != 0)).alias("on"))
+    flags = F.col("begins").cast("int") + F.lit(2) * F.col("ends").cast("int") + F.lit(4) * (F.col("on") & F.col("ends")).cast("int")
+    kept = rows.join(known, ["name", "right"]).select("tid", "at", flags.cast("byte").alias("flags"), F.col("name").alias("id"), F.col("right").alias("next_id"))
+    return kept.mapInArrow(_named, _NODE_SCHEMA)
 
 
-def _follow(words: int):
-    """From a text's nodes to its repeats; rows come sorted by text and place."""
+def _chains(words: int):
+    """From a text's nodes to its chains of letters; rows come sorted by text
+    and place. Where a letter begins and ends is counted from the chain's begin."""
 
-    def repeats(x: list[np.ndarray]) -> pa.RecordBatch:
-        tid, at, flags, name, n, next_name, next_n = x
+    def chains(x: list[np.ndarray]) -> pa.RecordBatch:
+        tid, at, flags, name, next_name, n_docs, first = x
         _, text = np.unique(tid, return_inverse=True)
         key = text.astype(np.int64) << 32 | at
-        first, goes = (flags & 1) > 0, (flags & 4) > 0
-        # (place, own node before a parent's child, id, count)
-        begin = np.concatenate([key[first], key[goes] + 1])
-        second = np.concatenate([np.zeros(first.sum(), np.int8), np.ones(goes.sum(), np.int8)])
-        label, count = np.concatenate([name[first], next_name[goes]]), np.concatenate([n[first], next_n[goes]])
-        owner = np.concatenate([tid[first], tid[goes]])
+        begins, goes = (flags & 1) > 0, (flags & 4) > 0
+        # a place's own node comes before a child of the place before it
+        begin = np.concatenate([key[begins], key[goes] + 1])
+        second = np.concatenate([np.zeros(begins.sum(), np.int8), np.ones(goes.sum(), np.int8)])
+        label = np.concatenate([name[begins], next_name[goes]])
+        owner = np.concatenate([np.flatnonzero(begins), np.flatnonzero(goes)])
         order = np.lexsort((second, begin))
         order = order[np.concatenate([[True], begin[order][1:] != begin[order][:-1]])] if len(order) else order
-        begin, label, count, owner = begin[order], label[order], count[order], owner[order]
-        stops = key[(flags & 2) > 0]
-        far = np.iinfo(np.int64).max
-        stop = np.append(stops, far)[np.searchsorted(stops, begin)]
-        stop = np.minimum(stop, np.append(begin[1:], far)[: len(begin)] - 1)
+        begin, label, owner = begin[order], label[order], owner[order]
+        stops, far = key[(flags & 2) > 0], np.iinfo(np.int64).max
+        following = np.append(begin[1:], far)[: len(begin)]
+        stop = np.minimum(np.append(stops, far)[np.searchsorted(stops, begin)], following - 1)
         # whether the run with the next word stands in two texts as well
-        goes_on = (np.append(begin[1:], far)[: len(begin)] == stop + 1) & ~np.isin(stop, key[(flags & 6) == 2])
+        goes_on = (following == stop + 1) & ~np.isin(stop, key[(flags & 6) == 2])
+        opens = np.concatenate([[True], ~goes_on[:-1]])[: len(begin)]
+        start = np.flatnonzero(opens)
+        edge = np.append(start, len(begin))
+        base = np.repeat(begin[start], np.diff(edge))
+        here, reach = (begin - base).astype(np.int32), (stop - base + words).astype(np.int32)
+        octets = np.ascontiguousarray(np.stack([label, reach], axis=1)).view(np.uint8).ravel() if len(label) else np.zeros(0, np.uint8)
+        chain = hash_spans(octets, edge[:-1] * 16, edge[1:] * 16, 7).view(np.int64)
+        lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(c)) for c in (label, here, reach)]
+        who = owner[start]
         return pa.RecordBatch.from_arrays(
-            [pa.array(owner), pa.array(begin & 0xFFFFFFFF), pa.array(stop - begin + words), pa.array(label), pa.array(count.astype(np.int64)), pa.array(goes_on)],
-            names=["tid", "begin_word", "n_words", "repeat_id", "n_occurrences", "goes_on"],
+            [pa.array(chain), *lists, pa.array(tid[who]), pa.array((begin[start] & 0xFFFFFFFF)), pa.array(n_docs[who]), first.take(pa.array(who))],
+            names=["chain", "labels", "begins", "ends", "tid", "at", "n_docs", "first_doc"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            x = [c.to_numpy() for c in b.columns]
+            x = [*(c.to_numpy() for c in b.columns[:6]), b.column(6)]
             if held is not None:
-                x = [np.concatenate(p) for p in zip(held, x, strict=True)]
+                x = [*(np.concatenate(p) for p in zip(held[:6], x[:6], strict=True)), pa.concat_arrays([held[6], x[6]])]
             cut = int(np.searchsorted(x[0], x[0][-1]))  # the last text may go on
             held = [c[cut:] for c in x]
             if cut:
-                yield repeats([c[:cut] for c in x])
+                yield chains([c[:cut] for c in x])
         if held is not None:
-            yield repeats(held)
+            yield chains(held)
 
     return run
 
 
-def _rests(words: int):
-    """The spans of _follow() with all that go on from each: suffixes of texts
-    written in spans instead of words."""
-    follow = _follow(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in follow(batches):
-            tid, begin, n, label, _, goes_on = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(tid):
-                continue
-            own = np.arange(len(tid))
-            last = np.flatnonzero(~goes_on)
-            size = last[np.searchsorted(last, own)] - own + 1
-            opens = np.concatenate([[True], ~goes_on[:-1]])
-            left = pa.array(np.concatenate([label[:1], label[:-1]]), mask=opens)
-            part = np.cumsum(size) // 500_000
-            for a in np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist():
-                z = int(np.searchsorted(part, part[a], side="right"))
-                edge = np.concatenate([[0], np.cumsum(size[a:z])])
-                at = np.arange(edge[-1]) + np.repeat(own[a:z] - edge[:-1], size[a:z])
-                reach = begin[at] + n[at] - np.repeat(begin[a:z], size[a:z])  # in words, from the suffix's begin
-                edge = pa.array(edge.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[a:z]), pa.array(tid[a:z]), pa.array(begin[a:z]), left[a:z], pa.ListArray.from_arrays(edge, pa.array(label[at])), pa.ListArray.from_arrays(edge, pa.array(reach))],
-                    names=["label", "tid", "begin_word", "left", "rest", "reach"],
-                )
-
-    return run
-
-
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The places of all inner nodes of the suffix tree of spans that have two
-    texts and differ to the left; suffixes come sorted."""
-    out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-    held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal out, held
-        size = [len(x[0]) for x in out]
-        cols = [np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.repeat([x[2] for x in out], size), np.repeat([x[3] for x in out], size)]
-        for a in range(0, held, 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["tid", "begin_word", "n_words", "repeat_id"])
-        out, held = [], 0
-
-    # places of suffixes with the same first span, open nodes (depth, first place), the last suffix
-    tid: list[int] = []
-    begin: list[int] = []
-    left: list[int | None] = []
-    nodes = [(0, 0)]
-    last, last_reach = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def close(depth: int) -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        while nodes[-1][0] > depth:
-            d, a = nodes.pop()
-            own, before = tid[a:], left[a:]
-            if min(own) < max(own) and (None in before or min(before) < max(before)):
-                name = int.from_bytes(blake2b(last[:d].tobytes(), digest_size=8).digest(), "little", signed=True)
-                out.append((np.array(own, np.int64), np.array(begin[a:], np.int64), int(last_reach[d - 1]), name))
-                held += len(own)
-                if held >= 100_000:
-                    yield from flush()
-            if nodes[-1][0] < depth:
-                nodes.append((depth, a))
+def _sorted_suffixes(letter: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(order of all suffixes, ranks by prefixes of 1, 2, 4, ... letters).
 
+    size: how many letters follow in the same chain, each letter's own included.
+    """
+    _, rank = np.unique(letter, return_inverse=True)
+    levels, step = [rank], 1
+    while step < size.max(initial=0):
+        ahead = np.where(size > step, np.append(rank, np.zeros(step, np.int64))[step:], -1)
+        _, rank = np.unique(rank * np.int64(len(rank) + 1) + ahead + 1, return_inverse=True)
+        levels.append(rank)
+        step *= 2
+    return np.argsort(rank, kind="stable"), levels
+
+
+def _common(levels: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many letters the suffixes a and b begin with alike."""
+    short = np.minimum(size[a], size[b])
+    n = np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        some = np.flatnonzero(n < short)
+        x, y = a[some] + n[some], b[some] + n[some]
+        # prefixes cut short by a chain's end are alike only if both are cut there
+        n[some[levels[k][x] == levels[k][y]]] += 1 << k
+    return np.minimum(n, short)
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inner nodes of the subtrees of one task, and for each of its suffixes the
+    deepest that stands in two texts."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    part = pa.Table.from_batches(got).combine_chunks()
+    lists = [c.chunk(0) if c.num_chunks else c.combine_chunks() for c in (part.column(k) for k in ("labels", "begins", "ends", "own"))]
+    count = np.diff(np.asarray(lists[0].offsets))
+    edge = np.cumsum(count) - count
+    letter, begin, end = (x.flatten().to_numpy() for x in lists[:3])
+    chain = np.repeat(np.arange(len(count)), count)
+    size = (edge + count)[chain] - np.arange(len(chain))
+    skipped = part.column("skipped").to_numpy()
+    own = lists[3].flatten().to_numpy() - np.repeat(skipped, np.diff(np.asarray(lists[3].offsets))) + np.repeat(edge, np.diff(np.asarray(lists[3].offsets)))
+    order, levels = _sorted_suffixes(letter, size)
+    mine = np.zeros(len(letter), bool)
+    mine[own] = True
+    order = order[mine[order]]
+    common = np.append(_common(levels, size, order[:-1], order[1:]), 0)
+    left = np.where(np.arange(len(letter)) > edge[chain], np.append(letter[:1], letter[:-1])[: len(letter)], 0)
+    opens = (np.arange(len(letter)) == edge[chain]) & (skipped == 0)[chain]
+    before = part.column("before").to_numpy()
+    left = np.where((np.arange(len(letter)) == edge[chain]) & ~opens, before[chain], left)
+    chain_id, low, high, weight = (part.column(k).to_numpy()[chain] for k in ("chain", "low", "high", "weight"))
+    first, first_at = part.column("first_doc").to_pylist(), part.column("first_at").to_numpy()
+    number = np.arange(len(letter)) - edge[chain] + skipped[chain]
+
+    nodes: list[tuple] = []
+    deepest: list[tuple] = []
+    # depth, a suffix, places, least and greatest text, a left letter, whether left letters differ, first place, suffixes that wait
+    stack: list[list] = []
+
+    def close(node: list) -> None:
+        depth, at, places, t0, t1, _, differ, place, waiting = node
+        if t0 < t1:
+            n = int(end[at + depth - 1] - begin[at])
+            deepest.extend((int(chain_id[w]), int(number[w]), int(begin[w]), n, places, *place[1:]) for w in waiting)
+            node[8] = []
+            if differ:
+                nodes.append((None, None, None, n, places, *place[1:]))
+
+    def merge(into: list, node: list) -> None:
+        into[2] += node[2]
+        into[3], into[4] = min(into[3], node[3]), max(into[4], node[4])
+        into[6] = into[6] or node[6] or into[5] != node[5]
+        into[7] = min(into[7], node[7])
+        if node[8]:
+            into[8] += node[8]
+
+    for at, after in zip(order.tolist(), common.tolist(), strict=True):
+        c = int(chain[at])
+        leaf = [int(size[at]), at, int(weight[at]), int(low[at]), int(high[at]), int(left[at]), bool(opens[at]), (first[c] is None, first[c], int(first_at[c] + begin[at])), [at]]
+        if stack and stack[-1][0] == leaf[0]:
+            merge(stack[-1], leaf)
+        else:
+            stack.append(leaf)
+        while stack and stack[-1][0] > after:
+            node = stack.pop()
+            close(node)
+            if after and (not stack or stack[-1][0] < after):
+                stack.append([after, *node[1:]])
+            elif stack:
+                merge(stack[-1], node)
+    kind = part.schema.field("first_doc").type
+    for rows in (nodes, deepest):
+        for a in range(0, len(rows), 50_000):
+            cols = list(zip(*rows[a : a + 50_000], strict=True))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), kind, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["chain", "number", "begin", "n_words", "n_occurrences", "first_doc_id", "first_at"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains from the first letter on that a task owns."""
+    for b in batches:
+        own = b.column(1)
+        edge = np.asarray(own.offsets)
+        start = np.minimum.reduceat(own.flatten().to_numpy(), edge[:-1] - edge[0]) if b.num_rows else np.zeros(0, np.int32)
+        cols = []
+        lists = b.schema.get_field_index("labels")
+        flat_edge = np.asarray(b.column(lists).offsets).astype(np.int64)
+        flat_edge = flat_edge - flat_edge[0]
+        size = np.diff(flat_edge) - start
+        new = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(new[-1]) - np.repeat(new[:-1] - flat_edge[:-1] - start, size)
+        flat = b.column(lists).flatten().to_numpy()
+        for k, c in enumerate(b.columns):
+            cols.append(pa.ListArray.from_arrays(pa.array(new.astype(np.int32)), pa.array(c.flatten().to_numpy()[at])) if lists <= k < lists + 3 else c)
+        before = flat[np.maximum(flat_edge[:-1] + start - 1, 0)] if len(flat) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(start.astype(np.int32)), pa.array(before)], names=[*b.schema.names, "skipped", "before"])
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a chain's repeats (sorted by place), those that lie in no longer one."""
+    last, reach = None, 0
     for b in batches:
-        rest, reach = b.column(4), b.column(5)
-        flat, flat_reach = rest.flatten().to_numpy(), reach.flatten().to_numpy()
-        edge = (rest.offsets.to_numpy() - rest.offsets[0].as_py()).tolist()
-        for i, (t, p, before) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-            own = flat[edge[i] : edge[i + 1]]
-            n = min(len(own), len(last))
-            other = np.flatnonzero(own[:n] != last[:n])
-            depth = int(other[0]) if len(other) else n
-            yield from close(depth)
-            if depth == 0:
-                tid, begin, left, nodes = [], [], [], [(0, 0)]
-            elif nodes[-1][0] < depth:
-                nodes.append((depth, len(tid) - 1))
-            tid.append(t)
-            begin.append(p)
-            left.append(before)
-            last, last_reach = own, flat_reach[edge[i] : edge[i + 1]]
-    yield from close(0)
-    if out:
-        yield from flush()
-
-
-def _sorted_nodes(docs: DataFrame, words: int, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(word counts of the rows, nodes as _follow() takes them)."""
+        chain = b.column(0).to_numpy()
+        end = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+        before, same = np.append(reach, end[:-1])[: len(end)], np.append(False, chain[1:] == chain[:-1])[: len(chain)]
+        if len(chain):
+            same[0] = chain[0] == last
+            last, reach = chain[-1], end[-1]
+        yield b.filter(pa.array(~same | (end > before)))
+
+
+def maximal_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS, most: int = GROUP_SUFFIXES, letters: int = TASK_LETTERS) -> DataFrame:
+    """doc_id, begin_word, n_words, n_occurrences, first_doc_id.
+
+    A maximal repeat is a run of `words` words and more that stands in two
+    different texts, and whose places do not all have the same word to the left
+    nor all the same to the right (a text's edge differs from anything). Each
+    has a row for its first place (in the least doc_id, there the first), so
+    repeats that lie in others are all there; beyond, each document has a row
+    for every place of a repeat that lies in no longer repeat of the document.
+    All further places follow: they are those of a longer one's row moved.
+
+    A text that several documents have whole is a repeat too, and the longest of
+    all in it. n_occurrences counts all places by documents; first_doc_id is the
+    least doc_id with the repeat; words count from 0.
+
+    Null, empty and shorter texts have no repeat; rows alike in doc_id and text
+    count once; other columns are ignored; an empty table gives an empty one.
+    Left and right words are compared by 31-bit hashes, runs by 64-bit ones.
+    """
     if not 0 < seed <= words:
         raise ValueError("seed must be 1..words")
     texts = with_tid(docs)
     counts = materialise(word_counts(texts), "word-counts")
+    rows = counts.filter(F.col("n_words") >= words).distinct()
+    by_text = rows.groupBy("tid").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.first("n_words").alias("n_words"))
     one = repeated_texts(texts, counts, words, seed)
     trie = split_prefixes(one, words, seed, most)
     suffixes = one.mapInArrow(_emit(words, seed, trie), "group int, name long, tid long, at int, beside long")
-    large = F.col("group").isin(trie.large)
-    fits = suffixes.filter(~large) if trie.large else suffixes
-    nodes = fits.repartitionById(max(trie.groups, 1), "group").mapInArrow(_nodes, "tid long, at int, flags byte, id long, n int, next_id long, next_n int")
+    fits = suffixes.filter("group >= 0").repartitionById(max(trie.groups, 1), "group").sortWithinPartitions("name")
+    nodes = fits.mapInArrow(_nodes, _NODE_SCHEMA)
     if trie.large:
-        nodes = nodes.unionByName(_large_nodes(suffixes.filter(large)))
-    return counts, nodes.repartition("tid").sortWithinPartitions("tid", "at")
-
-
-def all_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS, most: int = GROUP_SUFFIXES) -> DataFrame:
-    """doc_id, begin_word, n_words, n_occurrences, first_doc_id, repeat_id.
-
-    One row for each place of each maximal repeat: `words` words and more that
-    stand in two different texts, and that differ over all their places in the
-    word to the left and in the word to the right (a text's edge differs from
-    anything). Repeats lie in each other where a part has more places than the
-    whole: both have rows. A text that several documents have whole is a repeat
-    too. n_occurrences counts places in documents, which is the repeat's rows.
-
-    The runs of maximal_repeats() are the letters here: a maximal repeat begins
-    and ends with a run, so sorting the suffixes in runs finds all of them at
-    their full length. Other input is taken as there.
-    """
-    counts, nodes = _sorted_nodes(docs, words, seed, most)
-    rests = nodes.mapInArrow(_rests(words), "label long, tid long, begin_word long, left long, rest array<long>, reach array<long>")
-    found = rests.repartition("label").sortWithinPartitions("rest").mapInArrow(_intervals, "tid long, begin_word long, n_words long, repeat_id long")
-    found = materialise(found, "repeats")
-    rows = counts.filter(F.col("n_words") >= words).distinct()
-    inner = found.join(rows.select("doc_id", "tid"), "tid")
-    # whole texts that stand in another text too are among the others
-    known = found.filter("begin_word = 0").join(rows.select("tid", F.col("n_words").cast("long").alias("n_words")).distinct(), ["tid", "n_words"]).select("tid")
-    whole = rows.join(copies(counts, words), "tid").join(known, "tid", "left_anti").select(
-        "tid", F.lit(0).cast("long").alias("begin_word"), F.col("n_words").cast("long").alias("n_words"), F.col("tid").alias("repeat_id"), "doc_id"
-    )
-    same = Window.partitionBy("repeat_id")
-    return inner.unionByName(whole).select("doc_id", "begin_word", "n_words", F.count("*").over(same).alias("n_occurrences"), F.min("doc_id").over(same).alias("first_doc_id"), "repeat_id")
-
-
-def maximal_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS, most: int = GROUP_SUFFIXES) -> DataFrame:
-    """doc_id, begin_word, n_words, n_occurrences, first_doc_id, repeat_id.
-
-    One row for each place of each repeat: `words` words and more that stand in
-    two different texts, as far as all their n_occurrences places (in different
-    texts or one) go on alike to the left and to the right. Where only some go
-    on, these make another repeat, which begins or ends there. A text that
-    several documents have whole is a repeat too, with a place in each of them;
-    its inner repeats are counted once for the text. first_doc_id is the least
-    doc_id with the repeat; words count from 0.
-
-    Null, empty and shorter texts have no repeat; rows alike in doc_id and text
-    count once; other columns are ignored. Left and right words are compared by
-    31-bit hashes, runs by 64-bit ones.
-    """
-    counts, nodes = _sorted_nodes(docs, words, seed, most)
-    spans = nodes.mapInArrow(_follow(words), "tid long, begin_word long, n_words long, repeat_id long, n_occurrences long, goes_on boolean").drop("goes_on")
-    rows = counts.filter(F.col("n_words") >= words).distinct()
-    inner = spans.join(rows.select("doc_id", "tid"), "tid")
-    whole = rows.join(copies(counts, words), "tid").select(
-        "tid", F.lit(0).cast("long").alias("begin_word"), F.col("n_words").cast("long").alias("n_words"), F.col("tid").alias("repeat_id"), F.col("n_docs").alias("n_occurrences"), "doc_id"
-    )
-    found = inner.unionByName(whole)
-    first = F.min("doc_id").over(Window.partitionBy("repeat_id"))
-    return found.select("doc_id", "begin_word", "n_words", "n_occurrences", first.alias("first_doc_id"), "repeat_id")
+        nodes = nodes.unionByName(_large_nodes(suffixes.filter("group < 0")))
+    nodes = nodes.join(by_text.select("tid", "n_docs", "first_doc"), "tid").select(*_NODE, "n_docs", "first_doc").repartition("tid").sortWithinPartitions("tid", "at")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"chain long, labels array<long>, begins array<int>, ends array<int>, tid long, at long, n_docs long, first_doc {kind}"
+    chains = materialise(nodes.mapInArrow(_chains(words), schema), "chains")
+
+    # each distinct chain once, with what its places have in common
+    lists = F.first(F.struct("labels", "begins", "ends")).alias("lists")
+    place = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", F.col("at").alias("first_at"))).alias("place")
+    found = chains.groupBy("chain").agg(lists, F.sum("n_docs").alias("weight"), F.min("tid").alias("low"), F.max("tid").alias("high"), place)
+    found = materialise(found.select("chain", "lists.*", "weight", "low", "high", "place.first_doc", "place.first_at"), "distinct-chains")
+    total = found.agg(F.sum(F.size("labels"))).first()[0] or 0
+    tasks = max(1, -(-total // letters))
+    spelt = found.select("chain", F.posexplode("labels").alias("number", "label"))
+    owner = spelt.groupBy("label").agg(F.min("chain").alias("least"))
+    dealt = spelt.join(owner, "label").select(F.pmod(F.xxhash64("least"), F.lit(tasks)).cast("int").alias("task"), "chain", "number")
+    dealt = dealt.groupBy("task", "chain").agg(F.collect_list("number").alias("own"))
+    joined_ = dealt.join(found, "chain").select("task", "own", "chain", "labels", "begins", "ends", "weight", "low", "high", "first_doc", "first_at")
+    cut = f"task int, own array<int>, chain long, labels array<long>, begins array<int>, ends array<int>, weight long, low long, high long, first_doc {kind}, first_at long, skipped int, before long"
+    sent = joined_.mapInArrow(_parts, cut).repartitionById(tasks, "task")
+    made = sent.mapInArrow(_trees, f"chain long, number int, begin int, n_words int, n_occurrences long, first_doc_id {kind}, first_at long")
+    made = materialise(made, "subtrees")
+
+    repeat = ("n_words", "n_occurrences", "first_doc_id")
+    inner = made.filter("chain is null").select(F.col("first_doc_id").alias("doc_id"), F.col("first_at").alias("begin_word"), *repeat)
+    longest = made.filter("chain is not null").repartition("chain").sortWithinPartitions("chain", "number").mapInArrow(_longest, made.schema)
+    placed = chains.select("chain", "tid", "at").join(longest, "chain").select("tid", (F.col("at") + F.col("begin")).alias("begin_word"), *repeat)
+    # a text with copies has one row, be it a repeat of other texts or not
+    several = by_text.filter("n_docs > 1").select("tid", "n_docs", "first_doc", F.col("n_words").alias("size"))
+    placed = placed.join(several, "tid", "left").filter("size is null or (begin_word = 0 and n_words = size)")
+    whole = several.join(placed.filter("size is not null").select("tid"), "tid", "left_anti")
+    whole = whole.select("tid", F.lit(0).cast("long").alias("begin_word"), F.col("size").alias("n_words"), F.col("n_docs").alias("n_occurrences"), F.col("first_doc").alias("first_doc_id"))
+    of_docs = placed.select("tid", "begin_word", *repeat).unionByName(whole).join(rows.select("doc_id", "tid"), "tid")
+    out = of_docs.select("doc_id", "begin_word", *repeat).unionByName(inner)
+    return out.select("doc_id", "begin_word", F.col("n_words").cast("long").alias("n_words"), "n_occurrences", "first_doc_id").distinct()
 
 
 def op7_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All places of all repeats; a repeat is named by its first document and
-    its length instead of by a hash, so that SQL can say the same."""
-    return maximal_repeats(table(spark, sf_dir, "documents")).drop("repeat_id")
-
-
-def op7_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All places of all maximal repeats at their full length, nested ones too."""
-    return all_repeats(table(spark, sf_dir, "documents"))
+    return maximal_repeats(table(spark, sf_dir, "documents"))
 
 
 _N = MIN_WORDS
+#: Pairs of places with the same run, how far each pair goes on alike, and of
+#: each such stretch the places that have it whole.
 _ORACLE = f"""
 WITH texts AS (
-  SELECT text AS k, list_filter(string_split_regex(text, '{SPACE_RE}'), lambda x: x <> '') AS w FROM (SELECT DISTINCT text FROM documents)
+  SELECT row_number() OVER (ORDER BY text) AS k, text, list_filter(string_split_regex(text, '{SPACE_RE}'), lambda x: x <> '') AS w, count(DISTINCT doc_id) AS n, min(doc_id) AS d
+  FROM documents WHERE text IS NOT NULL GROUP BY text
 ),
-runs AS (
-  SELECT k, i, array_to_string(w[i + 1 : i + {_N}], ' ') AS run, w[i] AS l, w[i + {_N + 1}] AS r
-  FROM (SELECT k, w, unnest(range(0, len(w) - {_N - 1})) AS i FROM texts)
+runs AS (SELECT k, i, array_to_string(w[i + 1 : i + {_N}], ' ') AS run FROM (SELECT k, w, unnest(range(0, len(w) - {_N - 1})) AS i FROM texts)),
+shared AS (SELECT * FROM runs WHERE run IN (SELECT run FROM runs GROUP BY run HAVING count(DISTINCT k) > 1)),
+pairs AS (SELECT a.k AS k, a.i AS i, b.k AS k2, b.i AS i2 FROM shared a JOIN shared b USING (run) WHERE a.k <> b.k OR a.i <> b.i),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY k, k2, i2 - i ORDER BY i) AS island FROM pairs),
+stretches AS (
+  SELECT k, i, k2, i2, max(i) OVER part - i + {_N} AS n, i = min(i) OVER part AS begins FROM islands WINDOW part AS (PARTITION BY k, k2, i2 - i, island)
 ),
-nodes AS (
-  SELECT run, count(*) AS n, count(DISTINCT l) > 1 OR count(l) < count(*) AS begins, count(DISTINCT r) > 1 OR count(r) < count(*) AS ends
-  FROM runs GROUP BY run HAVING count(DISTINCT k) > 1
+candidates AS (SELECT DISTINCT k, i, n FROM stretches WHERE begins),
+places AS (
+  SELECT c.k, c.i, c.n, s.k2 AS pk, s.i2 AS pi FROM candidates c JOIN stretches s ON c.k = s.k AND c.i = s.i AND s.n >= c.n
+  UNION ALL SELECT k, i, n, k, i FROM candidates
 ),
-marked AS (
-  SELECT k, i, run, n, begins OR coalesce(i <> lag(i) OVER w + 1 OR lag(ends) OVER w, true) AS fresh
-  FROM runs JOIN nodes USING (run) WINDOW w AS (PARTITION BY k ORDER BY i)
+counted AS (
+  SELECT p.k, p.i, p.n, sum(t.n)::BIGINT AS n_occurrences, min(t.d) AS first_doc_id, arg_min(p.pi, (t.d, p.pi)) AS first_at
+  FROM places p JOIN texts t ON t.k = p.pk GROUP BY p.k, p.i, p.n HAVING count(DISTINCT p.pk) > 1
 ),
-numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY k ORDER BY i) AS part FROM marked),
-spans AS (
-  SELECT k, min(i) AS begin_word, count(*) + {_N - 1} AS n_words, any_value(n) AS n_occurrences, arg_min(run, i) AS repeat
-  FROM numbered GROUP BY k, part
+deepest AS (SELECT k, i, max(n) AS n FROM stretches WHERE k <> k2 GROUP BY k, i),
+longest AS (SELECT * FROM (SELECT *, coalesce(i + n > lag(i + n) OVER w OR lag(i) OVER w < i - 1, true) AS fresh FROM deepest WINDOW w AS (PARTITION BY k ORDER BY i)) WHERE fresh),
+several AS (SELECT k, n AS n_docs, d, len(w) AS size FROM texts WHERE n > 1 AND len(w) >= {_N}),
+placed AS (
+  SELECT l.k, l.i, l.n, c.n_occurrences, c.first_doc_id, size FROM longest l JOIN counted c USING (k, i, n) LEFT JOIN several USING (k) WHERE size IS NULL OR (l.i = 0 AND l.n = size)
 ),
-docs AS (SELECT DISTINCT doc_id, text AS k FROM documents),
-whole AS (SELECT k, count(*) AS n FROM docs GROUP BY k HAVING count(*) > 1),
-found AS (
-  SELECT doc_id, begin_word, n_words, n_occurrences, 'part ' || repeat AS repeat FROM spans JOIN docs USING (k)
-  UNION ALL
-  SELECT doc_id, 0, len(w), n, 'whole ' || k FROM whole JOIN docs USING (k) JOIN texts USING (k) WHERE len(w) >= {_N}
+of_texts AS (
+  SELECT k, i, n, n_occurrences, first_doc_id FROM placed
+  UNION ALL SELECT k, 0, size, n_docs, d FROM several WHERE k NOT IN (SELECT k FROM placed WHERE size IS NOT NULL)
 )
-SELECT doc_id, begin_word, n_words, n_occurrences, min(doc_id) OVER (PARTITION BY repeat) AS first_doc_id FROM found
+SELECT DISTINCT doc_id, i AS begin_word, o.n AS n_words, n_occurrences, first_doc_id FROM of_texts o JOIN texts t USING (k) JOIN documents USING (text)
+UNION SELECT first_doc_id, first_at, n, n_occurrences, first_doc_id FROM counted
 """
 
-QUERIES = {"op7_suffix_trees": op7_suffix_trees, "op7_maximal_repeats": op7_maximal_repeats}
+QUERIES = {"op7_suffix_trees": op7_suffix_trees}
 ORACLES = {"op7_suffix_trees": _ORACLE}
