@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, materialise, may_hold, sieve, slices, window_names
+from ._common import Words, marked, materialise, may_hold, sieve, slices, window_names
 
 #: Repeats of fewer words are let stand; the anchors' length.
 MIN_WORDS, SEED_WORDS = 50, 25
@@ -73,11 +74,16 @@ def anchors_of(w: Words, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]
     return at, name[at]
 
 
-def _emit_anchors(words: int, seed: int):
+def _emit_anchors(words: int, seed: int, bitmap: Broadcast | None = None):
+    """(tid, at, name) of all anchors, or of those that the bit map may have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
             w = Words(b.column(0))
             at, name = anchors_of(w, words, seed)
+            if bitmap is not None:
+                may = marked(bitmap.value, name)
+                at, name = at[may], name[may]
             tid = b.column(1).to_numpy()[w.row[at]]
             place = (at - w.first[w.row[at]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(place), pa.array(name.view(np.int64))], names=["tid", "at", "name"])
@@ -85,21 +91,29 @@ def _emit_anchors(words: int, seed: int):
     return run
 
 
+def shared_keys(rows: DataFrame, keys: list[str], more: str | None = None) -> DataFrame:
+    """The keys that two different tids have, with the least tid as `more`.
+
+    Counted by partial sums, so that a key of a third of all rows sends one row
+    a task.
+    """
+    both = rows.groupBy(*keys).agg(F.min("tid").alias("_low"), F.max("tid").alias("_high")).filter("_low < _high")
+    return both.select(*keys, *([F.col("_low").alias(more)] if more else []))
+
+
 def repeated_texts(texts: DataFrame, counts: DataFrame, words: int, seed: int) -> DataFrame:
-    """(tid, text, at): each text once that shares an anchor with another, and
-    where its shared anchors are. Written to the shared folder.
+    """(tid, text, at, no): each text once that shares an anchor with another,
+    where its shared anchors are, and a number. Written to the shared folder.
 
-    The first sort: by name, over anchors only; names of one text are discarded.
+    Names that two texts have are found first; a second pass over the texts
+    takes their places.
     """
-    found = texts.select("text", "tid").mapInArrow(_emit_anchors(words, seed), "tid long, at int, name long")
-    same = Window.partitionBy("name")
-    live = (
-        found.withColumns({"low": F.min("tid").over(same), "high": F.max("tid").over(same)})
-        .filter("low < high")
-        .groupBy("tid")
-        .agg(F.collect_set("at").alias("at"))
-    )
-    return materialise(one_of_each(texts, counts, live), "repeated-texts")
+    pick = texts.select("text", "tid")
+    shared = materialise(shared_keys(pick.mapInArrow(_emit_anchors(words, seed), "tid long, at int, name long"), ["name"]), "shared-anchors")
+    bitmap = texts.sparkSession.sparkContext.broadcast(may_hold(shared, "name"))
+    found = pick.mapInArrow(_emit_anchors(words, seed, bitmap), "tid long, at int, name long")
+    live = found.join(shared, "name", "left_semi").groupBy("tid").agg(F.collect_set("at").alias("at"))
+    return materialise(one_of_each(texts, counts, live).withColumn("no", F.monotonically_increasing_id()), "repeated-texts")
 
 
 def one_of_each(texts: DataFrame, counts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -113,9 +127,9 @@ def one_of_each(texts: DataFrame, counts: DataFrame, wanted: DataFrame) -> DataF
     more = [c for c in wanted.columns if c != "tid"]
     wanted = materialise(wanted.join(first, wanted.tid == first.t).select("t", "d", *more), "wanted")
     rows = sieve(texts.select("tid", "text", key.alias("key")), "tid", may_hold(wanted, "t"))
-    alike = Window.partitionBy("tid", "key").orderBy("tid")
     joined = rows.join(wanted, (rows.tid == wanted.t) & (rows.key == wanted.d))
-    return joined.withColumn("nth", F.row_number().over(alike)).filter("nth = 1").select("tid", "text", *more)
+    # rows alike in doc_id and text are one
+    return joined.dropDuplicates(["tid"]).select("tid", "text", *more)
 
 
 def near_anchors(w: Words, at: pa.ListArray, words: int, seed: int, length: int | None = None) -> np.ndarray:

@@ -7,6 +7,7 @@ characters, so that Spark, numpy and DuckDB cut a text alike.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 SPACE_RE = r"[ \t\n\r\f\x0B]+"
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +49,25 @@ def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
     _made.append((spark, path))
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for discard(): how many tables have been written so far."""
+    return len(_paths)
+
+
+def discard(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables from mark `first` to mark `last`, which nothing reads
+    any more. Shuffle files go when the driver's JVM collects what refers to
+    them; it is asked to, since rounds of a long job fill the disks else."""
+    for path in _paths[first:last]:
+        _delete(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -116,17 +134,19 @@ def slot(key: np.ndarray, bits: int = 26) -> np.ndarray:
     return (mix(key.astype(np.int64).view(np.uint64) * _M1) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def marked(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    k = slot(key)
+    return (bitmap[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def sieve(df: DataFrame, column: str, bitmap: np.ndarray, marked_ones: bool = True) -> DataFrame:
     """The rows of df whose key may be marked in the bit map, or all others."""
     at = df.columns.index(column)
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = shared.value
         for b in batches:
-            k = slot(b.column(at).to_numpy())
-            hit = (marked[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
-            yield b.filter(pa.array(hit == marked_ones))
+            yield b.filter(pa.array(marked(shared.value, b.column(at).to_numpy()) == marked_ones))
 
     return df.mapInArrow(run, df.schema)
 

@@ -1,9 +1,14 @@
 """Operator 1: substring dedup over a suffix array by prefix doubling.
 
-Round by round, Spark sorts the positions by the pair (rank of the words here,
-rank of the words `step` on), gives all positions of one pair one new rank, and
-discards those whose pair stands in no other text; the ranked length doubles
-until it reaches the threshold. What is left is where repeats begin.
+Positions are ranked by their first words. Round by round, the pairs (rank of
+the words here, rank of the words as many further on) are sorted and numbered,
+which ranks the positions by twice as many words; those whose pair stands in no
+other text are unique and discarded. When the ranked length reaches the
+threshold, what is left is where repeats begin.
+
+Only distinct pairs are sorted: partial sums find them and whether two texts
+have them, so that a pair of a third of all positions is one row a task, and a
+join (whose hot keys Spark splits) gives the positions their new ranks.
 """
 
 from __future__ import annotations
@@ -16,40 +21,48 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._anchors import MIN_WORDS, SEED_WORDS, copies, near_anchors, repeated_texts, with_tid, word_counts
-from ._common import SPACE_RE, Words, materialise, slices, table, window_names
+from ._common import SPACE_RE, Words, discard, materialise, slices, table, window_names, written
 
+#: Words that positions are ranked by before the first round.
+FIRST_WORDS = 7
 
-def _first_pairs(words: int, seed: int):
-    step = min(seed, words - seed)
+
+def _first_pairs(words: int, seed: int, first: int):
+    step = min(first, words - first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             w = Words(b.column(1))
-            name = window_names(w.hash, seed)
-            at = near_anchors(w, b.column(2), words, seed, seed + step)
-            tid = b.column(0).to_numpy()[w.row[at]]
+            name = window_names(w.hash, first)
+            at = near_anchors(w, b.column(2), words, seed, first + step)
+            no = b.column(3).to_numpy()[w.row[at]]
             place = (at - w.first[w.row[at]]).astype(np.int32)
             here, there = name[at].view(np.int64), name[at + step].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(place), pa.array(here), pa.array(there)], names=["tid", "at", "r1", "r2"])
+            yield pa.RecordBatch.from_arrays([pa.array(no), pa.array(place), pa.array(here), pa.array(there)], names=["no", "at", "r1", "r2"])
 
     return run
 
 
-def repeated_starts(one: DataFrame, words: int, seed: int) -> DataFrame:
+def repeated_starts(one: DataFrame, words: int, seed: int, first: int) -> DataFrame:
     """(tid, at): where `words` words begin that stand in another text too."""
-    pairs = one.mapInArrow(_first_pairs(words, seed), "tid long, at int, r1 long, r2 long")
-    ranked = seed + min(seed, words - seed)
+    spark = one.sparkSession
+    pairs = one.mapInArrow(_first_pairs(words, seed, first), "no long, at int, r1 long, r2 long")
+    ranked, mark = first + min(first, words - first), written()
+    pairs = materialise(pairs, "pairs")
     while True:
-        same = Window.partitionBy("r1", "r2")
-        kept = pairs.withColumns({"low": F.min("tid").over(same), "high": F.max("tid").over(same)})
+        known = pairs.groupBy("r1", "r2").agg(F.min("no").alias("low"), F.max("no").alias("high")).filter("low < high").select("r1", "r2")
         if ranked >= words:
-            return kept.filter("low < high").select("tid", "at")
-        # the new rank of a pair: any value of its own, here a hash of both
-        ranks = materialise(kept.filter("low < high").select("tid", "at", F.xxhash64("r1", "r2").alias("rank")), "ranks")
+            kept = pairs.join(known, ["r1", "r2"], "left_semi").select("no", "at")
+            return kept.join(one.select("no", "tid"), "no").select("tid", "at")
+        # sorted by both ranks and numbered: the rank by twice as many words
+        known = materialise(known.orderBy("r1", "r2").withColumn("rank", F.monotonically_increasing_id()), "ranks")
         step = min(ranked, words - ranked)
-        ahead = Window.partitionBy("tid").orderBy("at").rangeBetween(step, step)
-        pairs = ranks.distinct().select("tid", "at", F.col("rank").alias("r1"), F.max("rank").over(ahead).alias("r2")).filter("r2 is not null")
-        ranked += step
+        ahead = Window.partitionBy("no").orderBy("at").rangeBetween(step, step)
+        ranks = pairs.join(known, ["r1", "r2"]).select("no", "at", "rank")
+        longer = ranks.select("no", "at", F.col("rank").alias("r1"), F.max("rank").over(ahead).alias("r2")).filter("r2 is not null")
+        done, pairs = written(), materialise(longer, "pairs")
+        discard(spark, mark, done)
+        ranked, mark = ranked + step, done
 
 
 def _merge(words: int):
@@ -72,24 +85,25 @@ def _merge(words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS, first: int = FIRST_WORDS) -> DataFrame:
     """doc_id, begin_word, end_word: what a document shares with others.
 
     All runs of `words` words that stand in two documents, those that overlap or
     adjoin joined into one span; words are counted from 0, the end is excluded.
     Repeats within one document alone are let stand. Rows alike in doc_id and
     text count once, rows of one doc_id with other texts as other documents.
-    Null, empty and shorter texts have no span; other columns are ignored.
+    Null, empty and shorter texts have no span; other columns are ignored; an
+    empty table gives an empty one.
 
-    Names are 64-bit hashes: two of n different runs get one pair of ranks by
-    chance with odds of about n * n / 2**129.
+    `seed` words make an anchor (see _anchors), `first` words the first ranks,
+    which are 64-bit hashes; all further ones are places in a sorted order.
     """
-    if not 0 < seed <= words:
-        raise ValueError("seed must be 1..words")
+    if not (0 < seed <= words and 0 < first <= words):
+        raise ValueError("seed and first must be 1..words")
     texts = with_tid(docs)
     counts = materialise(word_counts(texts), "word-counts")
     one = repeated_texts(texts, counts, words, seed)
-    starts = repeated_starts(one, words, seed)
+    starts = repeated_starts(one, words, seed, first)
     spans = starts.groupBy("tid").agg(F.collect_list("at").alias("at")).mapInArrow(_merge(words), "tid long, begin_word long, end_word long")
     whole = copies(counts, words).select(F.col("tid").alias("t"))
     rows = counts.filter(F.col("n_words") >= words).distinct()

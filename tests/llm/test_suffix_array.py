@@ -50,11 +50,11 @@ def corpus(seed, n=30, letters=60):
     return rows + [(n, rows[0][1]), (0, rows[0][1]), (n + 1, None), (None, rows[1][1]), (n + 2, "")]
 
 
-@pytest.mark.parametrize(("words", "seed"), [(12, 6), (12, 3), (13, 2), (9, 9)])
-def test_against_brute_force(spark, words, seed):
+@pytest.mark.parametrize(("words", "seed", "first"), [(12, 6, 1), (12, 3, 5), (13, 2, 13), (9, 9, 2)])
+def test_against_brute_force(spark, words, seed, first):
     rows = corpus(words + seed)
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, tid int, at int")
-    got = sorted((str(r["doc_id"]), r["begin_word"], r["end_word"]) for r in S.repeated_spans(docs, words, seed).collect())
+    got = sorted((str(r["doc_id"]), r["begin_word"], r["end_word"]) for r in S.repeated_spans(docs, words, seed, first).collect())
     assert got == spans(rows, words) and got
 
 
@@ -86,3 +86,20 @@ def test_window_names_tell_runs_apart():
 
 def test_empty_table(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_of_the_query(spark, monkeypatch):
+    made, write = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: made.append(name) or write(df, name))
+    rows = [(i, f"own{i} " + " ".join(f"w{k}" for k in range(80 + i))) for i in range(3)]
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["begin_word"], r["end_word"]) for r in got) == [(0, 1, 81), (1, 1, 82), (2, 1, 82)]
+    assert made.count("pairs") == 3  # by 14, 28 and 50 words
+
+
+def test_very_long_texts_and_hot_passages(spark):
+    w = [f"w{i}" for i in range(20_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:10_000], "x", *w[10_000:]]))] + [(i, " ".join(w[100:160]) + f" own{i}") for i in range(3, 40)]
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 0, 20_000), (2, 0, 10_000), (2, 10_001, 20_001), *[(i, 0, 60) for i in range(3, 40)]]
+    assert sorted((r["doc_id"], r["begin_word"], r["end_word"]) for r in got) == sorted(want)
