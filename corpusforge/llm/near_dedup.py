@@ -9,7 +9,9 @@ compared exactly. Groups are the connected components of the pairs that pass.
 Not all pairs of a large group need be compared for its component: first each
 text is compared with one candidate (the least text of the buckets it shares
 most often); then, in buckets whose texts are not yet one component, all pairs
-across components are. That leaves out only pairs known to be connected.
+across components are. That leaves out only pairs known to be connected. The
+signatures of such a bucket are sent in blocks and compared block by block, so
+that only pairs that pass the test ever become rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._anchors import one_of_each, with_tid, word_counts
+from ._anchors import one_of_each, shared_keys, with_tid, word_counts
 from ._common import Words, joined, materialise, may_hold, mix, sieve, slices, table, window_names
 
 SHINGLE_WORDS = 3
@@ -33,6 +35,8 @@ THRESHOLD = 0.5
 MISS = 0.005
 #: Hashes compared before each test.
 BATCHES = (24, 48, 96, 144, 200)
+#: Signatures of a bucket that are compared with so many others at a time.
+BLOCK = 512
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -142,21 +146,79 @@ def _compare(threshold: float):
     return run
 
 
+def _across(threshold: float, miss: float):
+    """Pairs (a > b) of different components that pass the test; rows (key, low,
+    high, block, tid, root, sig) come sorted by their first three columns."""
+    least = least_matches(threshold, miss)
+
+    def passing(x: np.ndarray, y: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.nonzero(fits)
+        done, matches = 0, np.zeros(len(i), np.int64)
+        for n, need in zip(BATCHES, least, strict=True):
+            for at in range(0, len(i), 50_000):
+                z = slice(at, at + 50_000)
+                matches[z] += (x[i[z], done:n] == y[j[z], done:n]).sum(axis=1)
+            some = matches >= need
+            i, j, matches, done = i[some], j[some], matches[some], n
+        return i, j
+
+    def compare(block: np.ndarray, low: int, high: int, tid: np.ndarray, root: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        fits = root[p][:, None] != root[q][None, :]
+        if low == high:
+            fits &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
+        i, j = passing(sig[p], sig[q], fits)
+        x, y = tid[p[i]], tid[q[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, b]).combine_chunks()
+            key, low, high, block, tid, root = (table.column(k).to_numpy() for k in range(6))
+            sig = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(len(key), HASHES)
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            for a, z in zip([0, *edge.tolist()], edge.tolist(), strict=False):
+                yield compare(block[a:z], low[a], high[a], tid[a:z], root[a:z], sig[a:z])
+            held = table.slice(int(edge[-1]) if len(edge) else 0).to_batches()  # at most two blocks
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sig = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(table.num_rows, HASHES)
+            key, low, high, block, tid, root = (table.column(k).to_numpy() for k in range(6))
+            yield compare(block, low[0], high[0], tid, root, sig)
+
+    return run
+
+
 class _Checker:
-    """The two tests of a set of pairs (a, b) of texts."""
+    """The two tests of pairs (a, b) of texts."""
 
-    def __init__(self, texts: DataFrame, counts: DataFrame, signed: DataFrame, threshold: float, miss: float) -> None:
-        alike = Window.partitionBy("tid").orderBy("tid")
-        self.sig = signed.select("tid", "sig").withColumn("nth", F.row_number().over(alike)).filter("nth = 1").select("tid", "sig")
-        self.texts, self.counts, self.threshold, self.miss = texts, counts, threshold, miss
+    def __init__(self, texts: DataFrame, counts: DataFrame, sig: DataFrame, threshold: float, miss: float) -> None:
+        self.texts, self.counts, self.sig, self.threshold, self.miss = texts, counts, sig, threshold, miss
 
     @staticmethod
     def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
         one = pairs.join(of.select(F.col("tid").alias("a"), F.col(value).alias("va")), "a")
         return one.join(of.select(F.col("tid").alias("b"), F.col(value).alias("vb")), "b").select("a", "b", "va", "vb")
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        likely = self._both(pairs, self.sig, "sig").mapInArrow(_prune(self.threshold, self.miss), "a long, b long")
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the sequential test."""
+        return self._both(pairs, self.sig, "sig").mapInArrow(_prune(self.threshold, self.miss), "a long, b long")
+
+    def likely_across(self, buckets: DataFrame, block: int) -> DataFrame:
+        """The same for all pairs of different roots in the buckets (key, tid, root)."""
+        n = buckets.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        dealt = buckets.join(n, "key").withColumn("block", F.pmod(F.xxhash64("tid", F.lit(1)), "blocks").cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        sent = dealt.join(self.sig, "tid").select("key", "block", "tid", "root", "sig", other.alias("other"))
+        sent = sent.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tid", "root", "sig")
+        sent = sent.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        return sent.mapInArrow(_across(self.threshold, self.miss), "a long, b long").distinct()
+
+    def near(self, likely: DataFrame) -> DataFrame:
+        """Those of the pairs whose texts are alike, by their whole sets."""
         likely = materialise(likely, "likely-pairs")
         needed = likely.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
         own = materialise(one_of_each(self.texts, self.counts, needed), "pair-texts")
@@ -201,37 +263,39 @@ def components(edges: DataFrame) -> DataFrame:
         left = both.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """doc_id, tid, root, n_words: each row of docs with its group's root.
 
     tid is a hash of the text, root that of the group's least text. Texts equal
     to the letter are of one group. A text without words has a null root and no
-    group; null texts too.
+    group; null texts too. Other columns are ignored; an empty table gives an
+    empty one.
     """
     texts = with_tid(docs)
     counts = materialise(word_counts(texts), "word-counts")
     signed = materialise(texts.select("text", "tid").mapInArrow(_sign, "tid long, bands array<long>, sig binary"), "signatures")
-    same = Window.partitionBy("key")
-    rows = signed.select("tid", F.explode("bands").alias("key")).withColumns({"low": F.min("tid").over(same), "high": F.max("tid").over(same)})
-    buckets = materialise(rows.filter("low < high").select("key", "tid", "low"), "buckets")
-    check = _Checker(texts, counts, signed, threshold, miss)
+    keys = signed.select("tid", F.explode("bands").alias("key"))
+    shared = materialise(shared_keys(keys, ["key"], "low"), "shared-bands")
+    rows = sieve(keys, "key", may_hold(shared, "key")).join(shared, "key").select("key", "tid", "low")
+    buckets = materialise(rows.distinct(), "buckets")
+    some = buckets.select("tid").distinct()
+    sig = signed.select("tid", "sig").join(some, "tid", "left_semi").dropDuplicates(["tid"])
+    check = _Checker(texts, counts, materialise(sig, "candidate-signatures"), threshold, miss)
 
     # the candidate that a text shares most buckets with, the least of such
-    first = buckets.filter("tid <> low").repartition("tid").groupBy("tid", "low").agg(F.count("*").alias("n"))
+    first = buckets.filter("tid <> low").groupBy("tid", "low").agg(F.count("*").alias("n"))
     pairs = first.groupBy("tid").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("b")).select(F.col("tid").alias("a"), "b")
     pairs = materialise(pairs, "first-pairs")
-    near = check(pairs)
+    near = check.near(check.likely(pairs))
     rooted = components(near)
 
     # buckets that hold several components: all pairs across them
     label = rooted.select(F.col("node").alias("tid"), "root")
-    marked = buckets.select("key", "tid").distinct().join(label, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
-    marked = marked.withColumns({"r0": F.min("root").over(same), "r1": F.max("root").over(same)}).filter("r0 < r1").select("key", "tid", "root")
-    marked = materialise(marked, "mixed-buckets")
-    x = marked.select("key", F.col("tid").alias("b"), F.col("root").alias("rb"))
-    y = marked.select("key", F.col("tid").alias("a"), F.col("root").alias("ra"))
-    across = y.join(x, "key").filter("ra <> rb and a > b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    rooted = components(near.unionByName(check(materialise(across, "across-pairs"))))
+    labelled = materialise(buckets.join(label, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root")), "labelled-buckets")
+    mixed = shared_keys(labelled.select("key", F.col("root").alias("tid")), ["key"])
+    across = check.likely_across(labelled.join(mixed, "key", "left_semi"), block)
+    unseen = across.join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rooted = components(near.unionByName(check.near(unseen)))
     label = rooted.select(F.col("node").alias("tid"), "root")
     has = F.col("n_words") > 0
     return counts.join(label, "tid", "left").select("doc_id", "tid", F.when(has, F.coalesce("root", "tid")).alias("root"), "n_words")
@@ -244,10 +308,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     rows are copies of each other; null and empty texts are in no group, other
     columns are ignored.
     """
-    one = Window.partitionBy("root")
-    found = near_groups(docs, threshold, miss).filter("root is not null")
-    sized = found.withColumns({"group_id": F.min("doc_id").over(one), "group_size": F.count("*").over(one)})
-    return sized.filter("group_size > 1").select("doc_id", "group_id", "group_size")
+    found = materialise(near_groups(docs, threshold, miss).filter("root is not null").select("doc_id", "root"), "rooted")
+    sized = found.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    return found.join(sized, "root").select("doc_id", "group_id", "group_size")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -261,11 +324,15 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: fl
     # rows alike in doc_id and text are copies; a number tells them apart
     plain = docs.toDF(*names)
     found = near_groups(plain.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), threshold, miss)
-    order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "tid")
-    gone = found.filter("root is not null").withColumn("nth", F.row_number().over(order)).filter("nth > 1")
-    # how many of the rows alike in doc_id and text go
+    found = materialise(found.filter("root is not null").select("doc_id", "tid", "root"), "rooted")
+    # the row that stays: the least doc_id, there the least text
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("tid").alias("t"))
+    stays = found.groupBy("root").agg(F.min(rank).alias("s"), F.count("*").alias("n")).filter("n > 1").select("root", "s.*")
+    # how many of the rows alike in doc_id and text go: all, or all but one
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    gone = materialise(gone.groupBy(key.alias("_d"), F.col("tid").alias("_t")).agg(F.count("*").alias("_n")), "gone")
+    many = found.join(stays, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")))
+    gone = many.groupBy(key.alias("_d"), F.col("tid").alias("_t")).agg((F.count("*") - F.max(F.col("kept").cast("int"))).alias("_n")).filter("_n > 0")
+    gone = materialise(gone, "gone")
     marked = may_hold(gone, "_t")
     keyed = plain.withColumns({"_tid": F.xxhash64(F.col(text).cast("string")), "_key": F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))})
     others = sieve(keyed, "_tid", marked, False).select(*names)  # not in the join

@@ -127,3 +127,30 @@ def test_components(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(empty).count() == 0 and N.drop_near_duplicates(empty).count() == 0
+
+
+def test_many_unlike_texts_in_one_bucket(spark, monkeypatch):
+    """5,000 texts that share some bands and are unlike, but for a few pairs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    shared = [word() for _ in range(24)]
+    rows = [" ".join(shared + [word() for _ in range(30)]) for _ in range(5_000)]
+    alike = [(i, 2_500 + 7 * i) for i in range(20)]
+    for i, j in alike:
+        rows[j] = rows[i] + " one more"
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    blocks = []
+    monkeypatch.setattr(N._Checker, "likely_across", lambda self, b, block, old=N._Checker.likely_across: blocks.append(b.groupBy("key").count().agg({"count": "max"}).first()[0]) or old(self, b, 64))
+    assert found(N.near_duplicates(docs)) == {tuple(sorted(p)) for p in alike}
+    assert blocks[0] > 64
+
+
+def test_blocks_give_what_one_block_gives(spark):
+    docs = spark.createDataFrame(corpus(7), "doc_id long, text string")
+    roots = lambda block: {(r["doc_id"], r["root"]) for r in N.near_groups(docs, block=block).collect()}
+    assert roots(512) == roots(2)
+
+
+def test_the_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert found(N.op2_near_dedup(spark, SF)) == found(N.near_duplicates(docs))
