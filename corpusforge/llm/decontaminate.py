@@ -4,7 +4,8 @@ Texts are compared in lower case with one space for each run of other signs. A
 test item of n characters may differ in k = n * ERROR_RATE edits. Cut into k + 1
 pieces, at least one stands unchanged in any text that holds the item, so exact
 hits of pieces (one Aho-Corasick automaton) give all places to look at; there
-Myers' bit-parallel algorithm finds the least edit distance.
+Myers' bit-parallel algorithm finds the least edit distance. Items of less than
+SHORT_CHARS compared characters are looked for unchanged, at word edges.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from .licenses import _IN_WORD, _LOWER
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.06
-#: Shorter items (in compared characters) say too little and are left out.
-LEAST_CHARS = 40
+#: Shorter items (in compared characters) must stand unchanged, as whole words.
+SHORT_CHARS = 40
 #: Characters of items that one pass over the documents looks for.
 PASS_CHARS = 16_000_000
 
@@ -44,7 +46,7 @@ def normalised(col: pa.Array) -> list[str]:
 
 def pieces(item: str, rate: float = ERROR_RATE) -> tuple[int, list[tuple[int, str]]]:
     """(allowed edits k, the k + 1 pieces with their places)."""
-    k = int(len(item) * rate)
+    k = int(len(item) * rate) if len(item) >= SHORT_CHARS else 0
     edge = [round(i * len(item) / (k + 1)) for i in range(k + 2)]
     return k, [(a, item[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a]
 
@@ -111,6 +113,11 @@ class Matcher:
         found = []
         for n, diagonals in sorted(starts.items()):
             item, k = self.items[n][1], self.k[n]
+            if len(item) < SHORT_CHARS:
+                whole = (d for d in sorted(diagonals) if text[max(d - 1, 0) : d] in ("", " ") and text[d + len(item) : d + len(item) + 1] in ("", " "))
+                if (d := next(whole, None)) is not None:
+                    found.append((n, 0, d, d + len(item)))
+                continue
             best, spans = None, []
             for d in sorted(diagonals):  # places that overlap are looked at together
                 low, high = max(0, d - k), min(len(text), d + len(item) + k)
@@ -128,12 +135,15 @@ class Matcher:
         return found
 
 
-def _items(benchmark: DataFrame, least: int) -> Iterator[list[tuple[object, str]]]:
-    """The items to look for, in blocks of about PASS_CHARS characters.
+def _items(benchmark: DataFrame) -> Iterator[tuple[Broadcast, pa.DataType]]:
+    """The items to look for, sent to the tasks in blocks of about PASS_CHARS
+    characters, with the type of their ids.
 
-    Only one block at a time is in the driver's memory and sent to the tasks;
-    a benchmark of any size is worked off block by block.
+    A benchmark of any size is worked off block by block: the documents are read
+    once for each. The driver's Python holds one block at a time; those it has
+    made lie on disk, where broadcast values are kept.
     """
+    sc = benchmark.sparkSession.sparkContext
     rows = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(-(-total // PASS_CHARS)) or 1
@@ -141,33 +151,35 @@ def _items(benchmark: DataFrame, least: int) -> Iterator[list[tuple[object, str]
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
         got = part.collect()
         texts = normalised(pa.array([r["text"] for r in got], pa.string()))
-        items = sorted({(r["item_id"], t) for r, t in zip(got, texts, strict=True) if len(t) >= least})
+        items = sorted({(r["item_id"], t) for r, t in zip(got, texts, strict=True) if t})
         if items:
-            yield items
+            yield sc.broadcast(items), pa.array([items[0][0]]).type
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, item_id, distance, begin, end: each item a document holds, once.
 
     Of several places in a document, the first of the least distance; begin and
-    end are characters of the compared text. Null and empty texts hold nothing
-    and items with nulls or under `least` characters are left out. Repeated rows
-    repeat their findings; other columns are ignored.
+    end are characters of the compared text. Null and empty texts hold nothing;
+    items with nulls or without any compared character are left out, repeated
+    ones count once. Repeated rows of docs repeat their findings; other columns
+    are ignored. An empty table on either side gives none.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
     schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, distance int, begin int, end int"
     plain = docs.select("doc_id", F.col("text").cast("string"))
     out = None
-    for items in _items(benchmark, least):
-        part = plain.mapInArrow(_finder(items, rate, pa.array([i for i, _ in items[:1]]).type), schema)
+    for items, kind in _items(benchmark):
+        part = plain.mapInArrow(_finder(items, rate, kind), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
     return out
 
 
-def _finder(items: list[tuple[object, str]], rate: float, kind: pa.DataType):
+def _finder(sent: Broadcast, rate: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = sent.value
         matcher = Matcher(items, rate)
         for b in slices(batches, 1):
             out = [(i, *hit) for i, text in enumerate(normalised(b.column(1))) if text for hit in matcher.find(text)]
@@ -178,19 +190,23 @@ def _finder(items: list[tuple[object, str]], rate: float, kind: pa.DataType):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> DataFrame:
-    """The documents that hold no item of the benchmark, with all their columns."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """The documents that hold no item of the benchmark (see find_leaks()).
+
+    All columns stay as they are, whatever their names. Null and empty texts and
+    repeated rows stay; where one row goes, those like it go too.
+    """
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = [c.lower() for c in docs.columns].index("text")
     out = docs.toDF(*names)
-    for items in _items(benchmark, least):
+    for items, _ in _items(benchmark):
         out = out.mapInArrow(_dropper(items, rate, at), out.schema)
     return out.toDF(*docs.columns)
 
 
-def _dropper(items: list[tuple[object, str]], rate: float, at: int):
+def _dropper(sent: Broadcast, rate: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
+        matcher = Matcher(sent.value, rate)
         for b in slices(batches, at):
             yield b.filter(pa.array([not (t and matcher.find(t)) for t in normalised(b.column(at))], pa.bool_()))
 
