@@ -12,6 +12,7 @@ import base64
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -66,9 +67,10 @@ def candidates(text: str) -> list[Finding]:
 
 
 @lru_cache(maxsize=2)
-def _dictionary(vocab_file: str) -> tuple[frozenset[str], np.ndarray]:
-    """Words of four letters and more in a tokenizer's vocabulary, and the log
-    probabilities of one character class-letter after another in them."""
+def _dictionary(vocab_file: str) -> tuple[frozenset[str], np.ndarray, int]:
+    """Words of four letters and more in a tokenizer's vocabulary, the log
+    probabilities of one character class-letter after another in them, and the
+    length of the longest."""
     with open(vocab_file, "rb") as f:
         tokens = [base64.b64decode(line.split()[0]).strip() for line in f]
     words = {t.decode().lower() for t in tokens if len(t) >= 4 and t.isalpha() and t.isascii()}
@@ -76,27 +78,43 @@ def _dictionary(vocab_file: str) -> tuple[frozenset[str], np.ndarray]:
     for w in words:
         for a, b in zip(w, w[1:], strict=False):
             seen[ord(a), ord(b)] += 1
-    return frozenset(words), np.log(seen / seen.sum(axis=1, keepdims=True))
+    return frozenset(words), np.log(seen / seen.sum(axis=1, keepdims=True)), max(map(len, words), default=0)
 
 
-def _covered(text: str, words: frozenset[str]) -> float:
+def _covered(text: str, words: frozenset[str], longest: int) -> float:
     """The share of the letters that words of the dictionary cover, longest first."""
-    letters = at = total = 0
+    at = total = 0
     low = text.lower()
-    letters = len(low)
     while at < len(low):
-        for n in range(min(14, len(low) - at), 3, -1):
+        for n in range(min(longest, len(low) - at), 3, -1):
             if low[at : at + n] in words:
                 total += n
                 at += n
                 break
         else:
             at += 1
-    return total / max(letters, 1)
+    return total / max(len(low), 1)
+
+
+_WORD = re.compile(r"[A-Za-z_]\w*")
+
+
+@lru_cache(maxsize=2)
+def _word_places(text: str) -> tuple[list[int], list[int]]:
+    """Begins and ends of all words of a text; found once for all its findings."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    return [a for a, _ in spans], [z for _, z in spans]
+
+
+def neighbours(text: str, f: Finding, before: int = 3, after: int = 2) -> tuple[list[str], list[str]]:
+    """The last whole words before a finding and the first after it."""
+    begins, ends = _word_places(text)
+    i, j = bisect_right(ends, f.begin), bisect_left(begins, f.end)
+    return [text[begins[k] : ends[k]] for k in range(max(0, i - before), i)], [text[begins[k] : ends[k]] for k in range(j, min(j + after, len(begins)))]
 
 
 def features(text: str, f: Finding, path: str | None, vocab_file: str = VOCAB_FILE) -> list[float]:
-    words, log_p = _dictionary(vocab_file)
+    words, log_p, longest = _dictionary(vocab_file)
     value = text[f.begin : f.end]
     n = len(value)
     kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
@@ -105,8 +123,7 @@ def features(text: str, f: Finding, path: str | None, vocab_file: str = VOCAB_FI
     p = each / n
     codes = np.frombuffer(value.lower().encode("ascii", "replace"), np.uint8)
     runs = re.findall(r"[A-Za-z]+", value)
-    before = re.findall(r"[A-Za-z_]\w*", text[max(0, f.begin - 60) : f.begin])[-3:]
-    after = re.findall(r"[A-Za-z_]\w*", text[f.end : f.end + 40])[:2]
+    before, after = neighbours(text, f)
     near = text[max(0, f.begin - 4) : f.begin]
     low = value.lower()
     return [
@@ -117,7 +134,7 @@ def features(text: str, f: Finding, path: str | None, vocab_file: str = VOCAB_FI
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1),
         float(log_p[codes[:-1], codes[1:]].mean()) if n > 1 else 0.0,
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        _covered(value, words),
+        _covered(value, words, longest),
         float(max(map(len, runs), default=0)),
         float("=" in near or ":" in near),
         float(near[-1:] in ('"', "'")),
@@ -143,7 +160,7 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, Finding,
     digests, identifiers, numbers, placeholders, paths and long words.
     """
     rng = random.Random(seed)
-    words, _ = _dictionary(VOCAB_FILE)
+    words, *_ = _dictionary(VOCAB_FILE)
     pool = sorted(w for w in words if len(w) <= 9)
     hexa, letters = "0123456789abcdef", string.ascii_letters + string.digits
 

@@ -55,3 +55,75 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert got[2]["text"] is None and got[3]["text"] == "" and got[4]["text"] == rows[4][1]
     assert S.redact_secrets(docs.limit(0), "source").count() == 0
     assert S.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_findings_that_the_generator_did_not_make():
+    from .findings import findings
+
+    found = [(bool(S.find_secrets(t, None, S.trained())), y) for t, y in findings()]
+    hits = sum(f and y for f, y in found)
+    precision, recall = hits / max(1, sum(f for f, _ in found)), hits / sum(y for _, y in found)
+    print(f"precision {precision:.2f} recall {recall:.2f}", [t for (f, y), (t, _) in zip(found, findings(), strict=True) if f != bool(y)])
+    assert precision >= 0.8 and recall >= 0.8
+
+
+def plain_features(text, f, path):
+    """The features again, one by one."""
+    import math
+    from collections import Counter
+
+    words, log_p, longest = S._dictionary(S.VOCAB_FILE)
+    v = text[f.begin : f.end]
+    kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in v]
+    n, count, low = len(v), Counter(v), v.lower()
+    pairs = [log_p[ord(a) if ord(a) < 128 else 63, ord(b) if ord(b) < 128 else 63] for a, b in zip(low, low[1:])]
+    covered, i = 0, 0
+    while i < n:
+        size = next((k for k in range(longest, 3, -1) if i + k <= n and low[i : i + k] in words), 0)
+        covered, i = covered + size, i + (size or 1)
+    spans = [m.span() for m in re.finditer(r"[A-Za-z_]\w*", text)]
+    before = [text[a:z].lower() for a, z in spans if z <= f.begin][-3:]
+    after = [text[a:z].lower() for a, z in spans if a >= f.end][:2]
+    near = text[max(0, f.begin - 4) : f.begin]
+    marks = ("example", "your", "changeme", "xxxx", "placeholder", "0000", "1234", "sample", "dummy", "${", "{{")
+    return [
+        n, *[kind.count(k) / n for k in "dulo"], len(count) / n, -sum(c / n * math.log2(c / n) for c in count.values()),
+        sum(a != b for a, b in zip(kind, kind[1:])) / max(n - 1, 1), sum(pairs) / len(pairs) if pairs else 0, all(c in "0123456789abcdefABCDEF" for c in v),
+        covered / n, max(map(len, re.findall("[A-Za-z]+", v)), default=0), "=" in near or ":" in near, near[-1:] in ("'", '"') and near != "",
+        any(w in S._GOOD_WORDS for w in before), any(w in S._BAD_WORDS for w in before), any(w in S._BAD_WORDS for w in after), bool(S._PREFIX.match(v)),
+        any(m in low for m in marks), bool(path and S._PATH_BAD.search(path)), bool(path and S._PATH_GOOD.search(path)), v.count("-") / n, v.isdigit(),
+    ]
+
+
+def test_features_against_plain_python():
+    from .findings import findings
+
+    rows = [(t, c, p) for t, c, p, _ in S.labelled_findings(200, seed=21)] + [(t, c, "conf/x") for t, _ in findings() for c in S.candidates(t)]
+    rows += [(t, c, None) for t in ["w" * 300 + " token: " + "internationalization" * 2 + "1", "1" * 16 + " " + "é1" * 20, "Ab1" * 6] for c in S.candidates(t)]
+    for t, c, p in rows:
+        assert np.allclose(S.features(t, c, p), np.array(plain_features(t, c, p), float), atol=1e-9), t
+
+
+def test_long_words_count_whole():
+    words, _, longest = S._dictionary(S.VOCAB_FILE)
+    w = max(words, key=lambda x: (len(x), x))
+    assert longest == len(w) > 14 and S._covered(w + "1", words, longest) > 0.9
+    long = "a" * 500
+    text = f"{long} = 'zzzzzz1'; {long} {long}"
+    f = S.Finding(text.index("zz"), text.index("1") + 1, "given")
+    assert S.neighbours(text, f) == ([long], [long, long])
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    began = time.process_time()
+    S.find_secrets("1234567890123456 " * 20_000, None, S.trained())
+    assert time.process_time() - began < 120  # a square of the length takes hours
+
+
+def test_candidates_of_the_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = sorted((r["doc_id"], r["begin"], r["end"], r["rule"], r["score"]) for r in S.op5_secrets(spark, SF).collect())
+    want = sorted((d["doc_id"], *f, s) for d in docs for f, s in S.find_secrets(d["text"], d["source"], S.trained()))
+    assert got == want
