@@ -61,6 +61,54 @@ NOTICES = [
     Notice("ISC-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and", "with or without fee is hereby granted")),
     Notice("Unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
     Notice("All-rights-reserved", "all rights reserved", ("all rights reserved",)),
+    Notice(
+        "Apache-2.0-text",
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        ("you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing", "is distributed on an as is basis without warranties or conditions of any kind"),
+    ),
+    Notice(
+        "MIT-warranty",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied",
+        ("this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind"),
+    ),
+    Notice(
+        "BSD-3-text",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("redistributions in binary form must reproduce the above copyright notice", "neither the name of", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ),
+    Notice(
+        "GPL-text",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        ("you can redistribute it and or modify it under the terms of the gnu", "as published by the free software foundation", "in the hope that it will be useful but without any warranty"),
+    ),
+    Notice(
+        "MPL-2.0-text",
+        "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0",
+        ("this source code form is subject to the terms of the mozilla public license", "if a copy of the mpl was not distributed with this file"),
+    ),
+    Notice(
+        "Zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose "
+        "the origin of this software must not be misrepresented altered source versions must be plainly marked as such this notice may not be removed or altered from any source distribution",
+        ("in no event will the authors be held liable for any damages", "the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such"),
+    ),
+    Notice(
+        "Unlicense-text",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("anyone is free to copy modify publish use compile sell or distribute this software", "for any purpose commercial or non commercial and by any means"),
+    ),
+    Notice("WTFPL", "do what the fuck you want to public license", ("do what the fuck you want to public license",)),
+    Notice("OFL-1.1", "this font software is licensed under the sil open font license version 1.1", ("sil open font license", "version 1 1")),
+    Notice("Artistic-2.0", "distributed under the artistic license 2.0", ("the artistic license 2 0",)),
+    Notice("EUPL-1.2", "licensed under the european union public licence v 1.2", ("european union public licence", "1 2")),
+    Notice("CDDL-1.0", "common development and distribution license version 1.0", ("common development and distribution license", "version 1 0")),
+    Notice("CC-BY-NC-SA-4.0", "licensed under cc by-nc-sa 4.0", ("cc by nc sa 4 0",)),
+    Notice("CC-BY-NC-ND-4.0", "licensed under cc by-nc-nd 4.0", ("cc by nc nd 4 0",)),
+    Notice("CC-BY-prose", "licensed under a creative commons attribution 4.0 international license", ("creative commons attribution", "4 0 international license")),
+    Notice("PSF-2.0", "python software foundation license version 2", ("python software foundation license version 2",)),
 ]
 
 # a word is a run of ASCII letters, digits, and bytes beyond ASCII, in lower case

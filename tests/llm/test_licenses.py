@@ -24,6 +24,24 @@ def test_all_notices_are_found_in_prose(spark):
     assert {(i, n.licence) for i, n in enumerate(L.NOTICES)} <= got
 
 
+def test_bodies_with_words_added_and_missing(spark):
+    """Notices as files have them: other lines between, words added or left out."""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation ..."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#     http://www.apache.org/licenses/LICENSE-2.0
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    rows = [(1, mit), (2, apache), (3, mit.replace("obtaining a copy", "getting one")), (4, apache.replace("You may obtain a copy of the License at", "")), (5, mit.replace("associated", "never " * 9))]
+    rows += [(6, apache.replace("AS IS", "as was"))]
+    got = {(r["doc_id"], r["licence"]) for r in L.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT-text"), (3, "MIT-text"), *[(i, n) for i in (2, 6) for n in ("Apache-2.0",)], (2, "Apache-2.0-text"), (4, "Apache-2.0")}
+
+
 def test_phrases_must_stand_together(spark):
     rows = [
         (1, "the gnu general public license is here and much later on comes version 3 of it", 1),
