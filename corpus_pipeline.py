@@ -17,27 +17,46 @@ from corpusforge.llm.secrets import redact_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that the rules reject go."""
+    """Operator 6: documents that the rules reject go.
+
+    Null and empty texts are rejected; repeated rows are judged alike. Without
+    labels of both kinds nothing else is. An empty table gives an empty one.
+    """
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each group of near copies stays."""
+    """Operator 2: one document of each group of near copies stays.
+
+    Of repeated rows one stays; rows without words are in no group and stay; of
+    equal doc_ids the least text, null doc_ids last.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that hold a benchmark item go."""
+    """Operator 8: documents that hold a benchmark item go.
+
+    Null and empty texts hold none; repeated rows stay or go together; items
+    that are null or have no word are not looked for.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: secrets are replaced in the text; all documents stay."""
+    """Operator 5: secrets are replaced in the text; all documents stay.
+
+    Null texts stay null, repeated rows stay; n_chars follows the text.
+    """
     return redact_secrets(docs, path="source")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: the places of the documents' tokens in training sequences."""
+    """Operator 10: the places of the documents' tokens in training sequences.
+
+    Null and empty texts have no token and no place; repeated rows and null
+    doc_ids have one each.
+    """
     return pack_documents(docs)
 
 
