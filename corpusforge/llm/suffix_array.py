@@ -48,19 +48,19 @@ def repeated_starts(one: DataFrame, words: int, seed: int, first: int) -> DataFr
     spark = one.sparkSession
     pairs = one.mapInArrow(_first_pairs(words, seed, first), "no long, at int, r1 long, r2 long")
     ranked, mark = first + min(first, words - first), written()
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(pairs, "pairs", "zstd")
     while True:
         known = pairs.groupBy("r1", "r2").agg(F.min("no").alias("low"), F.max("no").alias("high")).filter("low < high").select("r1", "r2")
         if ranked >= words:
             kept = pairs.join(known, ["r1", "r2"], "left_semi").select("no", "at")
             return kept.join(one.select("no", "tid"), "no").select("tid", "at")
         # sorted by both ranks and numbered: the rank by twice as many words
-        known = materialise(known.orderBy("r1", "r2").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+        known = materialise(known.orderBy("r1", "r2").withColumn("rank", F.monotonically_increasing_id()), "ranks", "zstd")
         step = min(ranked, words - ranked)
         ahead = Window.partitionBy("no").orderBy("at").rangeBetween(step, step)
         ranks = pairs.join(known, ["r1", "r2"]).select("no", "at", "rank")
         longer = ranks.select("no", "at", F.col("rank").alias("r1"), F.max("rank").over(ahead).alias("r2")).filter("r2 is not null")
-        done, pairs = written(), materialise(longer, "pairs")
+        done, pairs = written(), materialise(longer, "pairs", "zstd")
         discard(spark, mark, done)
         ranked, mark = ranked + step, done
 

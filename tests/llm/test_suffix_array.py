@@ -90,7 +90,7 @@ def test_empty_table(spark):
 
 def test_rounds_of_the_query(spark, monkeypatch):
     made, write = [], S.materialise
-    monkeypatch.setattr(S, "materialise", lambda df, name: made.append(name) or write(df, name))
+    monkeypatch.setattr(S, "materialise", lambda df, name, *how: made.append(name) or write(df, name, *how))
     rows = [(i, f"own{i} " + " ".join(f"w{k}" for k in range(80 + i))) for i in range(3)]
     got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["begin_word"], r["end_word"]) for r in got) == [(0, 1, 81), (1, 1, 82), (2, 1, 82)]
