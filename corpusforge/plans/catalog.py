@@ -435,7 +435,7 @@ def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_GRAPH} SELECT * FROM found")
 def topic_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    down = topics.topic_descendants(_linked(spark, sf_dir), _edges(spark, sf_dir))
+    down = relational.cut_lineage(topics.topic_descendants(_linked(spark, sf_dir), _edges(spark, sf_dir)))
     return topics.topic_articles(down, _articles(spark, sf_dir)).orderBy(F.desc("articleCount"), "topicUri", "articleUri")
 
 
@@ -458,7 +458,8 @@ SELECT topicUri, n AS abstractCount, paths, body AS aggregateTopicAbstract FROM
 def topic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six steps of the topic corpus in one."""
     linked, edges = relational.cut_lineage(_linked(spark, sf_dir)), _edges(spark, sf_dir)
-    found = topics.topic_articles(topics.topic_descendants(linked, edges), _articles(spark, sf_dir))
+    down = relational.cut_lineage(topics.topic_descendants(linked, edges))
+    found = topics.topic_articles(down, _articles(spark, sf_dir))
     return topics.topic_texts(_abstracts(spark, sf_dir), found, topics.grounded_ancestry(linked, edges)).orderBy(F.desc("abstractCount"), "topicUri", "paths")
 
 
