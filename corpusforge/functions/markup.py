@@ -57,6 +57,7 @@ class Parsed(NamedTuple):
     paragraphs: list[tuple[str, int, int]]
 
 
+@lru_cache(maxsize=65_536)
 def uri_of(title: str, lang: str) -> str:
     """The same address as functions.text.title_to_uri gives in the JVM."""
     return f"http://{lang}.wikipedia.org/wiki/" + quote_plus(title.replace(" ", "_"), safe="*").replace("~", "%7E")
