@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import quote_plus
@@ -24,19 +25,20 @@ MAX_DEPTH = 256
 PARSED = StructType([StructField("text", StringType()), *[f for f in schemas.PARSED_PAGES.fields if f.name in ("links", "headers", "paragraphs")]])
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_NOWIKI_END = re.compile(r"</nowiki\s*>", re.I)
+_NOWIKI_EMPTY = re.compile(r"<(?P<none>)nowiki\s*/>", re.I)
 _NOWIKI = re.compile(r"<nowiki\s*>(.*?)</nowiki\s*>|<nowiki\s*/>", re.S | re.I)
-_REF = re.compile(r"<ref\b[^>]*?/>|<ref\b[^>]*>.*?(?:</ref\s*>|\Z)", re.S | re.I)
-_GONE = re.compile(r"<(gallery|timeline|references|imagemap)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+_REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?(?:</ref\s*>|\Z)", re.S | re.I)
+_GONE = re.compile(r"<(gallery|timeline|references|imagemap)\b[^<>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
 _MAGIC = re.compile(r"__[A-Z]{3,}__")
-_HEADING = re.compile(r"^(={1,6})\s*(.+?)\s*\1\s*$")
 _PAIR = re.compile(r"\{\{|\}\}")
 _TABLE = re.compile(r"^[ \t:]*\{\||^[ \t]*\|\}", re.M)
 _IMAGE = re.compile(r"\s*(?:file|image|fichier|datei|archivo|bild|imagen|immagine)\s*:", re.I)
 _IMAGE_OPTION = re.compile(
-    r"\s*(?:thumb|thumbnail|frame|framed|frameless|border|left|right|center|centre|none|upright(?:=.*)?|baseline|middle|sub|super|top|bottom|\d*x?\d+\s*px|(?:alt|link|page|lang|class)=.*|vignette|miniatur|gauche|droite|links|rechts)\s*$",
+    r"\s*(?:thumb|thumbnail|frame|framed|frameless|border|left|right|center|centre|none|upright(?:=.*)?|baseline|middle|sub|super|top|bottom|\d+(?:x\d+)?\s*px|x\d+\s*px|(?:alt|link|page|lang|class)=.*|vignette|miniatur|gauche|droite|links|rechts)\s*$",
     re.I | re.S,
 )
-_OTHER_WIKI = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?http://[\w-]+\.wikipedia\.org/wiki/[^>]*>.*?(?:</a\s*>|\Z)", re.S | re.I)
+_OTHER_WIKI = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*[\"']?http://[\w-]+\.wikipedia\.org/wiki/[^<>]*>.*?(?:</a\s*>|\Z)", re.S | re.I)
 _INTERWIKI = re.compile(r"^http://[\w-]+\.wikipedia\.org/wiki/.*")
 _EXTERNAL = re.compile(r"\[((?:https?|ftp)://[^\s\]]+)(?:\s+([^\]]*))?\]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -96,6 +98,20 @@ def _closings(text: str) -> dict[int, int]:
     return found
 
 
+def _heading(line: str) -> tuple[int, str] | None:
+    """(level, content) of a line between as many equal signs on either side."""
+    line = line.rstrip()
+    level = min(6, len(line) - len(line.lstrip("=")), len(line) - len(line.rstrip("=")), (len(line) - 1) // 2)
+    return (level, line[level:-level].strip() or " ") if level > 0 else None
+
+
+def _kept_out(text: str, keep: Callable[[re.Match], str]) -> str:
+    """text with its nowiki pieces as `keep` gives them."""
+    ends = list(_NOWIKI_END.finditer(text))
+    cut = ends[-1].end() if ends else 0  # behind the last end tag there is no piece
+    return _NOWIKI.sub(keep, text[:cut]) + _NOWIKI_EMPTY.sub(keep, text[cut:])
+
+
 class _Scanner:
     def __init__(self, lang: str, kept: list[str]) -> None:
         self.lang, self.kept = lang, kept
@@ -214,7 +230,7 @@ def parse_markup(markup: str | None, lang: str = "en") -> Parsed:
     text = markup.replace("\r\n", "\n") if "\r" in markup else markup
     text = text.replace(_MARK, "")
     if "<" in text:
-        text = _NOWIKI.sub(keep, text)
+        text = _kept_out(text, keep)
         text = _COMMENT.sub("", text)
         text = _OTHER_WIKI.sub("", _GONE.sub("", _REF.sub("", text)))
     if "{{" in text:
@@ -244,12 +260,12 @@ def parse_markup(markup: str | None, lang: str = "en") -> Parsed:
 
     listed = text.split("\n")
     for line in _joined_links(listed) if "[[" in text else listed:
-        heading = _HEADING.match(line) if line.startswith("=") else None
+        heading = _heading(line) if line.startswith("=") else None
         if heading:
             close()
             begin = scan.at
-            scan.inline(heading.group(2))
-            headers.append((f"h{len(heading.group(1))}", begin, scan.at))
+            scan.inline(heading[1])
+            headers.append((f"h{heading[0]}", begin, scan.at))
             scan.put("\n\n")
         elif not line.strip() or line.startswith("----"):
             close()
