@@ -141,6 +141,7 @@ class _Scanner:
             self.put("Error - nesting is too deep")
             return
         search = _TOKEN.search
+        bracket = i - 1  # the next closing one, or `stop` where there is none
         while True:
             m = search(text, i, stop)
             if not m:
@@ -157,7 +158,10 @@ class _Scanner:
             elif t == "]]":
                 self.put(t)
             elif t[0] == "[":
-                e = _EXTERNAL.match(text, m.start(), stop)
+                if bracket < i:
+                    bracket = text.find("]", i, stop)
+                    bracket = stop if bracket < 0 else bracket
+                e = _EXTERNAL.match(text, m.start(), bracket + 1) if bracket < stop else None
                 if not e:
                     self.put("[")
                     i = m.start() + 1
@@ -186,7 +190,7 @@ class _Scanner:
         if bar >= 0 and not text[bar + 1 : end].isspace() and bar + 1 < end:
             self._part(text, bar + 1, end, closings, depth + 1)
         elif bar >= 0:  # the pipe trick
-            self.inline(re.sub(r"\s*\([^)]*\)\s*$", "", title), depth + 1)
+            self.inline(_without_remark(title), depth + 1)
         elif "&" in title or "[[" not in title:
             self.inline(title, depth + 1)
         else:
@@ -204,6 +208,14 @@ class _Scanner:
         return after
 
 
+def _without_remark(title: str) -> str:
+    """title without the brackets at its end."""
+    if not title.endswith(")"):
+        return title
+    at = title.find("(", title.rfind(")", 0, -1) + 1)
+    return title if at < 0 else title[:at].rstrip()
+
+
 def _split_bars(text: str, start: int, end: int, closings: dict[int, int]) -> list[tuple[int, int]]:
     """Parts of a link by bars that are not within an inner link."""
     parts, last, at = [], start, start
