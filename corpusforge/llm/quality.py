@@ -2,9 +2,10 @@
 
 Each document gets a vector of rule statistics (shares, so that long and short
 documents compare). A forest of trees that split at random isolates unusual
-vectors early: the mean path length gives the anomaly score. The forest is
-grown on a bounded sample of labelled rows, and the score beyond which a
-document is rejected is set from the labels of the same sample.
+vectors early: the mean path length gives the anomaly score. Every labelled row
+counts: each tree is grown, as isolation forests are, on a few rows drawn from
+all of them; the sizes of its leaves are counts of all of them; and the score
+beyond which a document is rejected is set from the labels of all of them.
 """
 
 from __future__ import annotations
@@ -13,13 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, slices, table
+from ._common import Words, discard, marked, materialise, may_hold, mix, slices, table, written
 
-#: Labelled rows that the forest and the threshold are fitted on, at most.
-LABELLED = 4000
 TREES, SUBSAMPLE = 200, 256
 #: Share of the labelled good rows that the threshold may reject.
 MAX_LOSS = 0.001
@@ -88,14 +87,23 @@ class IsolationForest:
 
     def __init__(self, good: np.ndarray, bad: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        odd = min(len(bad), max(1, round(ANOMALY_SHARE * subsample)))
-        plain = min(len(good), subsample - odd)
-        self.sample = odd + plain
+        plain, odd = sizes(len(good), len(bad), subsample)
+        self._plant(
+            [np.concatenate([good[rng.choice(len(good), plain, replace=False)], bad[rng.choice(len(bad), odd, replace=False)]]) for _ in range(trees)],
+            rng,
+        )
+
+    @classmethod
+    def of(cls, samples: list[np.ndarray], seed: int = 11) -> IsolationForest:
+        """A tree of each sample; all are of one size."""
+        forest = cls.__new__(cls)
+        forest._plant(samples, np.random.default_rng(seed))
+        return forest
+
+    def _plant(self, samples: list[np.ndarray], rng: np.random.Generator) -> None:
+        self.sample = len(samples[0])
         limit = int(np.ceil(np.log2(max(self.sample, 2)))) + 2
-        self.trees = [
-            self._grow(np.concatenate([good[rng.choice(len(good), plain, replace=False)], bad[rng.choice(len(bad), odd, replace=False)]]), limit, rng)
-            for _ in range(trees)
-        ]
+        self.trees = [self._grow(x, limit, rng) for x in samples]
 
     @staticmethod
     def _grow(x: np.ndarray, limit: int, rng: np.random.Generator):
@@ -125,8 +133,14 @@ class IsolationForest:
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): near 1 for anomalies, 0.5 and less for the rest."""
         total = np.zeros(len(x))
+        for (_, _, _, depth), leaf in zip(self.trees, self.leaves(x), strict=True):
+            total += depth[leaf]
+        return np.round(2.0 ** (-total / len(self.trees) / max(_expected(self.sample), 1e-9)), 6)
+
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each tree the node that each row ends in."""
         every = np.arange(len(x))
-        for feature, cut, child, depth in self.trees:
+        for feature, cut, child, _ in self.trees:
             at = np.zeros(len(x), np.int64)
             moving = every
             while len(moving):
@@ -135,23 +149,46 @@ class IsolationForest:
                 f = f[f >= 0]
                 here = at[moving]
                 at[moving] = child[here, (x[moving, f] > cut[here]).astype(np.int64)]
-            total += depth[at]
-        return np.round(2.0 ** (-total / len(self.trees) / max(_expected(self.sample), 1e-9)), 6)
+            yield at
+
+    def resize(self, size: np.ndarray) -> None:
+        """Lengthen the paths by other leaf sizes than the samples', which may
+        be fractions; `size` has those of all nodes, tree by tree."""
+        first = 0
+        for k, (feature, cut, child, _) in enumerate(self.trees):
+            level = np.zeros(len(feature))
+            for at in np.flatnonzero(feature >= 0):  # parents come first
+                level[child[at]] = level[at] + 1
+            self.trees[k] = feature, cut, child, level + _expected(size[first : first + len(feature)])
+            first += len(feature)
+
+
+def sizes(good: int, bad: int, subsample: int = SUBSAMPLE) -> tuple[int, int]:
+    """How many good and bad rows each tree gets, of so many."""
+    odd = min(bad, max(1, round(ANOMALY_SHARE * subsample)))
+    return min(good, subsample - odd), odd
 
 
-def _expected(n: int) -> float:
+def _expected(n: int | float | np.ndarray) -> np.ndarray:
     """The mean path length of an unsuccessful search among n."""
-    return 0.0 if n < 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
+    m = np.maximum(n, 2.0)
+    return np.where(np.less(n, 2), 0.0, 2.0 * (np.log(m - 1) + 0.5772156649) - 2.0 * (m - 1) / m)
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS) -> float:
+def calibrate(score: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS, count: np.ndarray | None = None) -> float:
     """The threshold with the most bad rows above it that costs at most
-    max_loss of the good rows; between two scores, nearer the upper one."""
-    if not len(score) or good.all() or not good.any():
+    max_loss of the good rows; between two scores, nearer the upper one.
+
+    With `count`, each score stands for so many rows, of which `good` are good.
+    """
+    count = np.ones(len(score), np.int64) if count is None else count
+    good = good.astype(np.int64)
+    if (good == count).all() or not good.any():
         return 1.0
-    kept = np.sort(score[good])[::-1]
-    allowed = int(max_loss * len(kept))
-    least = kept[allowed]  # reject above this score only
+    order = np.argsort(-score, kind="stable")
+    lost = np.cumsum(good[order])
+    allowed = int(max_loss * lost[-1])
+    least = score[order][np.searchsorted(lost, allowed, side="right")]  # reject above this score only
     above = score[score > least]
     return float(least + (above.min() - least) * 0.5) if len(above) else 1.0
 
@@ -164,42 +201,131 @@ class Model:
         return np.zeros(len(col)) if self.forest is None else self.forest.score(statistics(col))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, max_loss: float = MAX_LOSS) -> Model:
-    """Fit on at most `labelled` labelled documents, those of the least id hash.
+def fit(docs: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> Model:
+    """Fit on all labelled documents.
 
     Rows of labels with nulls are left out, repeated doc_ids count as good if
     any says so. Without both kinds of label nothing is rejected.
     """
+    mark = written()
+    rows = materialise(labelled_statistics(docs, labels), "labelled")
+    count = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
+    if len(count) < 2:
+        model = Model(None, 1.0)
+    else:
+        forest = IsolationForest.of(draw(rows, count))
+        forest.resize(leaf_sizes(rows, forest, count))
+        model = Model(forest, threshold(rows, forest, max_loss))
+    discard(docs.sparkSession, mark, written())
+    return model
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The statistics `x` of every labelled document, whether it is `good`, and
+    a hash of both doc_id and statistics, `key`.
+
+    Statistics are taken of what passes a sieve of the labels, so that texts are
+    not shuffled for the join.
+    """
+    kind = docs.schema["doc_id"].dataType
     wanted = (
-        labels.filter("doc_id is not null and quality is not null")
+        labels.select(F.col("doc_id").cast(kind).alias("doc_id"), "quality")
+        .filter("doc_id is not null and quality is not null")
         .groupBy("doc_id")
-        .agg(F.max("quality").alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(labelled)
-        .collect()
+        .agg(F.max("quality").cast("boolean").alias("good"))
     )
-    good = {r["doc_id"]: bool(r["good"]) for r in wanted}
-    if not good:
-        return Model(None, 1.0)
-    lookup = pa.array(list(good))
+    shared = docs.sparkSession.sparkContext.broadcast(may_hold(wanted.select(F.xxhash64("doc_id").alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        for b in slices(batches, 1):
-            b = b.filter(pc.is_in(b.column(0), value_set=lookup.cast(b.column(0).type)))
+        for b in slices(batches, 2):
+            b = b.filter(pa.array(marked(shared.value, b.column(0).to_numpy())))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(statistics(b.column(1)).tolist())], names=["doc_id", "x"])
+                x = statistics(b.column(2))
+                at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["doc_id", "x"])
+
+    found = docs.select(F.xxhash64("doc_id").alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
+    found = found.mapInArrow(run, f"doc_id {kind.simpleString()}, x array<double>")
+    return found.join(wanted, "doc_id").select(F.xxhash64("doc_id", "x").alias("key"), "x", "good")
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(len(col), len(STATISTICS))
+
+
+def draw(rows: DataFrame, count: dict[bool, int], trees: int = TREES, subsample: int = SUBSAMPLE) -> list[np.ndarray]:
+    """For each tree, good and bad rows drawn from all, without replacement.
+
+    A row's lot for a tree is a hash of its key and the tree; the least lots
+    win. Lots that are too high to win are dropped where they are made; should
+    that leave too few (many rows may be equal), it is done again with more, and
+    with all of them at last.
+    """
+    plain, odd = sizes(count[True], count[False], subsample)
+    seed = mix(np.arange(1, trees + 1, dtype=np.uint64))
+    win = Window.partitionBy("tree", "good").orderBy("lot", "x")
+    widen = 1
+    while True:
+        share = [min(1.0, widen * (k + 8 * k**0.5 + 16) / n) for k, n in ((odd, count[False]), (plain, count[True]))]
+        bound = np.array([int(s * 2**63) for s in share], np.uint64)
+
+        def run(batches: Iterator[pa.RecordBatch], bound: np.ndarray = bound) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = b.column(0).to_numpy().view(np.uint64)
+                most = bound[b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)]
+                tree, low, row = [], [], []
+                for t in range(trees):
+                    lot = mix(key ^ seed[t]) >> np.uint64(1)
+                    some = np.flatnonzero(lot < most)
+                    tree.append(np.full(len(some), t, np.int32))
+                    low.append(lot[some].astype(np.int64))
+                    row.append(some)
+                won = b.take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tree)), pa.array(np.concatenate(low)), won.column(1), won.column(2)], names=["tree", "lot", "x", "good"]
+                )
+
+        lots = rows.select("key", "x", "good").mapInArrow(run, "tree int, lot long, x array<double>, good boolean")
+        placed = lots.withColumn("place", F.row_number().over(win)).filter(F.col("place") <= F.when(F.col("good"), plain).otherwise(odd))
+        got = placed.select("tree", "x").toArrow().combine_chunks().sort_by("tree")
+        if got.num_rows == trees * (plain + odd):
+            return list(_matrix(got.column("x").combine_chunks()).reshape(trees, plain + odd, -1))
+        widen *= 8
+
+
+def leaf_sizes(rows: DataFrame, forest: IsolationForest, count: dict[bool, int]) -> np.ndarray:
+    """How many rows of a sample each node would hold as a leaf, if the sample
+    were like all rows, good and bad: their counts, scaled to its size."""
+    first = np.cumsum([0, *(len(t[0]) for t in forest.trees)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, first[-1]), np.int64)
+        for b in batches:
+            good = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for k, leaf in enumerate(forest.leaves(_matrix(b.column(0)))):
+                for row, kind in zip(total, (leaf[~good], leaf[good]), strict=True):
+                    row[first[k] : first[k + 1]] += np.bincount(kind, minlength=first[k + 1] - first[k])
+        some = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(row[some]) for row in total)], names=["node", "bad", "good"])
+
+    got = rows.select("x", "good").mapInArrow(run, "node long, bad long, good long").groupBy("node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    plain, odd = sizes(count[True], count[False], SUBSAMPLE)
+    size = np.zeros(first[-1])
+    size[got.column("node").to_numpy()] = got.column("good").to_numpy() * (plain / count[True]) + got.column("bad").to_numpy() * (odd / count[False])
+    return size
+
+
+def threshold(rows: DataFrame, forest: IsolationForest, max_loss: float) -> float:
+    """calibrate() over all rows, by the counts of each score; scores have six
+    decimals, so there are at most a million whatever the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(_matrix(b.column(0)))), b.column(1)], names=["score", "good"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>"
-    rows = sorted((r["doc_id"], r["x"]) for r in docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema).collect())
-    if not rows:
-        return Model(None, 1.0)
-    x, ok = np.array([v for _, v in rows]), np.array([good[d] for d, _ in rows])
-    if ok.all() or not ok.any():
-        return Model(None, 1.0)
-    forest = IsolationForest(x[ok], x[~ok])
-    return Model(forest, calibrate(forest.score(x), ok, max_loss))
+    got = rows.select("x", "good").mapInArrow(run, "score double, good boolean").groupBy("score").agg(F.count_if("good").alias("good"), F.count("*").alias("count")).toArrow()
+    score, good, count = (got.column(name).to_numpy() for name in ("score", "good", "count"))
+    return calibrate(score, good, max_loss, count)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -219,13 +345,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*names).mapInArrow(run, shape.add("score", "double"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is at most the threshold, with their columns.
 
     Null and empty texts are rejected, since they hold nothing to train on.
     Repeated rows are judged alike; an empty table gives an empty one.
     """
-    model = fit(docs, labels, labelled)
+    model = fit(docs, labels)
     names = [f"c{k}" if c.lower() != "text" else "text" for k, c in enumerate(docs.columns)]
     kept = keep(score_documents(docs.toDF(*names), model), model)
     return kept.drop("score").toDF(*docs.columns)
