@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
+
+from .. import schemas
+from .pieces import PIECE_BYTES, field_lists, pieces
 
 #: Runs of letters, of digits, or of one other sign.
 _TOKEN = regex.compile(r"\p{L}+|\p{Nd}+|([^\s\p{L}\p{Nd}])\1*")
 TOKEN_RE = r"\p{L}+|\p{Nd}+|([^\s\p{L}\p{Nd}])\1*"
-SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())]))
 TYPED_SPANS = "array<struct<begin:int,end:int,type:string>>"
 
 _STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s+[\"'“‘«(\[]*(?:[^\W_]))")
@@ -61,12 +65,6 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(ArrayType(SPANS))
-def paragraph_sentences(texts: pd.Series) -> pd.Series:
-    """array<string> (paragraphs) -> the sentence spans of each."""
-    return pd.Series([None if t is None else [[{"begin": a, "end": b} for a, b in sentence_spans(p)] for p in t] for t in texts])
-
-
 def sentences_with_links(df, text: str = "text", links: str = "links", paragraphs: str = "paragraphs"):
     """Each link with the sentence that holds it whole, for all rows of df.
 
@@ -74,39 +72,60 @@ def sentences_with_links(df, text: str = "text", links: str = "links", paragraph
     schemas.SENTENCE_LINKS) and drops the three inputs. Sentences are numbered
     from 1 over all paragraphs of a row, those without links too; offsets are
     relative to the sentence, in which tabs and newlines became spaces.
+
+    Texts are cut and matched in one pass, which no filter is pushed through:
+    nothing is computed twice.
     """
     rest = [c for c in df.columns if c not in (text, links, paragraphs)]
-    cut = F.transform(F.col(paragraphs), lambda p: F.substr(F.col(text), p["begin"] + 1, p["end"] - p["begin"]))
-    # absolute spans of all sentences, in order
-    spans = F.flatten(
-        F.zip_with(F.col(paragraphs), paragraph_sentences(cut), lambda p, found: F.transform(found, lambda s: F.struct((p["begin"] + s["begin"]).alias("begin"), (p["begin"] + s["end"]).alias("end"))))
-    )
-    rows = df.select(*rest, F.col(text).alias("_text"), F.col(links).alias("_links"), spans.alias("_spans"))
-    rows = rows.select(*rest, "_text", "_links", F.posexplode("_spans").alias("_n", "_s"))
-    inside = F.filter("_links", lambda x: (x["begin"] >= F.col("_s.begin")) & (x["end"] <= F.col("_s.end")))
-    ordered = F.array_sort(inside, lambda a, b: _by_span(a, b))
-    rows = rows.select(*rest, "_text", "_n", "_s", F.explode(ordered).alias("_l"))
-    flat = F.regexp_replace(F.substr(F.col("_text"), F.col("_s.begin") + 1, F.col("_s.end") - F.col("_s.begin")), r"[\n\t]", " ")
-    return rows.select(
-        *rest,
-        (F.col("_n") + 1).alias("sentenceOrder"),
-        flat.alias("sentence"),
-        F.col("_l.target").alias("linkTarget"),
-        (F.col("_l.begin") - F.col("_s.begin")).alias("linkBegin"),
-        (F.col("_l.end") - F.col("_s.begin")).alias("linkEnd"),
-    )
-
-
-def _by_span(a: Column, b: Column) -> Column:
-    return (
-        F.when(a["begin"] < b["begin"], -1)
-        .when(a["begin"] > b["begin"], 1)
-        .when(a["end"] > b["end"], -1)
-        .when(a["end"] < b["end"], 1)
-        .when(a["target"] < b["target"], -1)
-        .when(a["target"] > b["target"], 1)
-        .otherwise(0)
-    )
+    taken = df.select(*rest, text, links, paragraphs)
+    schema = StructType([*taken.schema.fields[: len(rest)], *schemas.SENTENCE_LINKS.fields])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, texts, found, parts = batch.columns
+
+            def rows(at: list[int], made: list[tuple], kept=kept) -> pa.RecordBatch:
+                columns = zip(*made, strict=True) if made else [()] * len(_LINK_TYPES)
+                new = [pa.array(c, t) for c, t in zip(columns, _LINK_TYPES, strict=True)]
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in kept), *new], names=names)
+
+            for start, stop in pieces(texts):
+                at, made, size = [], [], 0
+                piece = zip(texts.slice(start, stop - start).to_pylist(), field_lists(found.slice(start, stop - start), "begin", "end", "target"), field_lists(parts.slice(start, stop - start), "begin", "end"), strict=True)
+                for k, one in enumerate(piece, start):
+                    for row in linked_sentences(*one):
+                        at.append(k)
+                        made.append(row)
+                        size += len(row[1])
+                        if size > PIECE_BYTES:  # a sentence has a copy for each of its links
+                            yield rows(at, made)
+                            at, made, size = [], [], 0
+                yield rows(at, made)
+
+    return taken.mapInArrow(run, schema)
+
+
+_LINK_TYPES = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+
+def linked_sentences(text: str | None, links: list[tuple], paragraphs: list[tuple]) -> Iterator[tuple[int, str, str | None, int, int]]:
+    """(sentenceOrder, sentence, linkTarget, linkBegin, linkEnd) of one text;
+    links are (begin, end, target), paragraphs (begin, end)."""
+    if text is None:
+        return
+    links = sorted((x for x in links if x[0] is not None and x[1] is not None), key=lambda x: (x[0], -x[1], x[2] or ""))
+    begins = [x[0] for x in links]
+    spans = ((p + a, p + b) for p, q in paragraphs if p is not None and q is not None for a, b in sentence_spans(text[p:q]))
+    for n, (begin, end) in enumerate(spans, 1):
+        k, sentence = bisect_left(begins, begin), None
+        while k < len(links) and begins[k] <= end:
+            _, stop, target = links[k]
+            if stop <= end:
+                if sentence is None:
+                    sentence = text[begin:end].replace("\n", " ").replace("\t", " ")
+                yield n, sentence, target, begins[k] - begin, stop - begin
+            k += 1
 
 
 def merge_spans(text: str, spans: list[tuple[int, int, str | None]], skip_unmatched: bool = False) -> str:
@@ -144,15 +163,19 @@ def merge_annotations(text: Column | str, spans: Column | str, default_type: str
     """
     text, spans = (F.col(c) if isinstance(c, str) else c for c in (text, spans))
 
-    @F.pandas_udf(StringType())
-    def run(t: pd.Series, s: pd.Series) -> pd.Series:
-        def one(x, found):
-            if x is None:
-                return None
-            ok = [(f["begin"], f["end"], f.get("type", default_type)) for f in ([] if found is None else found) if f["begin"] is not None and f["end"] is not None]
-            return merge_spans(x, ok, skip_unmatched)
-
-        return pd.Series([one(x, found) for x, found in zip(t, s, strict=True)])
+    @F.arrow_udf(StringType())
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            typed = found.type.value_type.get_field_index("type") >= 0
+            for start, stop in pieces(texts):
+                of = field_lists(found.slice(start, stop - start), "begin", "end", "type")
+                rows = zip(texts.slice(start, stop - start).to_pylist(), of, strict=True)
+                yield pa.array([None if t is None else one(t, s, typed) for t, s in rows], pa.string())
+            if not len(texts):
+                yield pa.array([], pa.string())
+
+    def one(text: str, found: list[tuple], typed: bool) -> str:
+        return merge_spans(text, [(a, b, kind if typed else default_type) for a, b, kind in found if a is not None and b is not None], skip_unmatched)
 
     return run(text, spans)
 
