@@ -32,13 +32,13 @@ def article_types(wikipedia_links: DataFrame, redirects: DataFrame, instance_typ
 def annotated_sentences(sentences: DataFrame, types: DataFrame, names: DataFrame, skip_unmatched: bool = False) -> DataFrame:
     """One annotated text for each (title, sentenceOrder) with typed links."""
     named = replicated_join(types.withColumnRenamed("type", "typeuri"), names, "typeuri").select(F.col("wikiuri").alias("linkTarget"), "typename")
-    return _merged(sentences.join(named, "linkTarget"), skip_unmatched)
+    return _merged(replicated_join(sentences, named, "linkTarget"), skip_unmatched)
 
 
 def annotated_with(sentences: DataFrame, types: DataFrame, type_uri: str, type_name: str | None, skip_unmatched: bool = False) -> DataFrame:
     """The same for one type, whose name (or none) all annotations have."""
     typed = types.filter(F.col("type") == type_uri).select(F.col("wikiuri").alias("linkTarget"), F.lit(type_name).cast("string").alias("typename"))
-    return _merged(sentences.join(typed, "linkTarget"), skip_unmatched)
+    return _merged(replicated_join(sentences, typed, "linkTarget"), skip_unmatched)
 
 
 def _merged(rows: DataFrame, skip_unmatched: bool) -> DataFrame:
@@ -51,9 +51,13 @@ def _merged(rows: DataFrame, skip_unmatched: bool) -> DataFrame:
 def entity_contexts(sentences: DataFrame) -> DataFrame:
     """(id, text): for each linked page, the sentences that link to it, joined
     by page and place. Prose of one spec; for telling entities apart."""
-    row = F.struct("title", "sentenceOrder", "sentence")
-    grouped = sentences.groupBy(F.col("linkTarget").alias("id")).agg(F.array_sort(F.collect_set(row)).alias("rows"))
-    return grouped.select("id", F.array_join(F.transform("rows", lambda r: r["sentence"]), " ").alias("text"))
+    # first the sentences of each page, which a task has together and many tasks
+    # share; only these texts are brought together by entity
+    row = F.struct("sentenceOrder", "sentence")
+    said = F.array_sort(F.collect_set(row))
+    pages = sentences.groupBy(F.col("linkTarget").alias("id"), "title").agg(F.array_join(F.transform(said, lambda r: r["sentence"]), " ").alias("said"))
+    ordered = F.array_sort(F.collect_list(F.struct("title", "said")))
+    return pages.groupBy("id").agg(F.array_join(F.transform(ordered, lambda r: r["said"]), " ").alias("text"))
 
 
 def run_ner(spark: SparkSession, dump: str, triples: str, target: str, lang: str = "en", types_file: str | None = None, type_uri: str | None = None, type_name: str | None = None) -> None:

@@ -126,6 +126,24 @@ def test_entities(spark):
     assert rows(ner.entity_contexts(sentences)) == [("w:A", "Ann met Bob ."), ("w:B", "Ann met Bob . Bob left ."), ("w:Z", "Z .")]
 
 
+def test_contexts_are_collected_by_page_first(spark):
+    made = [("q", 2, "w:A", "Q two."), ("p", 10, "w:A", "P ten."), ("p", 2, "w:A", "P two."), ("p", 2, "w:A", "P two."), ("p", 2, "w:A", "Other page."), (None, 1, "w:A", "N."), ("p", 1, None, "Z.")]
+    sentences = rel(spark, made, "title string, sentenceOrder int, linkTarget string, sentence string")
+    got = ner.entity_contexts(sentences)
+    assert sorted(got.collect(), key=str) == [("w:A", "N. Other page. P two. P ten. Q two."), (None, "Z.")] or sorted(got.collect(), key=str) == [(None, "Z."), ("w:A", "N. Other page. P two. P ten. Q two.")]
+    keys = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert len(keys) == 2 and "title" in keys[1].split("]")[0]
+
+
+def test_typed_links_are_joined_where_they_are(spark):
+    """Sentences are not shuffled by the page that they link to."""
+    sentences = rel(spark, [("p", 1, "w:A", 0, 3, "Ann left .")], "title string, sentenceOrder int, linkTarget string, linkBegin int, linkEnd int, sentence string")
+    types, names = rel(spark, [("w:A", "t:P")], "wikiuri string, type string"), rel(spark, [("t:P", "person")], "typeuri string, typename string")
+    for df in (ner.annotated_sentences(sentences, types, names), ner.annotated_with(sentences, types, "t:P", "person")):
+        assert "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+        assert rows(df) == [("p", 1, "<START:person> Ann <END> left .")]
+
+
 def test_similarity(spark):
     docs = rel(spark, [("cats", "cat cat purr meow fur"), ("dogs", "dog bark fur tail"), ("cars", "engine wheel road")], "id string, text string")
     index = similarity.index(docs, "id")
