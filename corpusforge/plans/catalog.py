@@ -661,8 +661,9 @@ SELECT qid, term, round(tf * idf, 4) AS weight FROM terms JOIN weights USING (te
 )
 def interesting_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms by which benchmark items are looked up."""
-    weights = similarity.term_weights(similarity.index(_t(spark, sf_dir, "documents"), "doc_id"))
-    terms = similarity.interesting_terms(_t(spark, sf_dir, "benchmark"), "item_id", weights)
+    items = _t(spark, sf_dir, "benchmark")
+    weights = similarity.term_weights(similarity.index(_t(spark, sf_dir, "documents"), "doc_id"), terms=similarity.query_terms(items, "item_id"))
+    terms = similarity.interesting_terms(items, "item_id", weights)
     return terms.select("qid", "term", F.round("weight", 4).alias("weight"))
 
 

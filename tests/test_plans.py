@@ -159,6 +159,41 @@ def test_similarity(spark):
     assert paths == ["A b", "A b / C", "D"]
 
 
+def test_best_texts_over_many_batches(spark):
+    """Scores beside plain Python, over pieces and tasks, with ties."""
+    from collections import Counter
+    from math import log, sqrt
+
+    texts = {k: " ".join(f"w{k * (j + 3) % 23}" for j in range(k % 9)) for k in range(700)}
+    docs = rel(spark, [(k, t) for k, t in texts.items()], "id int, text string").repartition(3)
+    asked = {1: "w1 w2 w2 w5 unknown", 2: "w7", 3: "none"}
+    got = similarity.categorize(rel(spark, list(asked.items()), "qid int, text string"), "qid", similarity.index(docs, "id"), 4).collect()
+    words = {k: t.split() for k, t in texts.items() if t}
+    idf = lambda w: 1 + log(len(words) / (sum(w in x for x in words.values()) + 1))
+    want = []
+    for q, text in asked.items():
+        terms = {w for w in text.split() if any(w in x for x in words.values())}
+        scores = {k: round(sum(sqrt(c) * idf(w) ** 2 / sqrt(len(x)) for w, c in Counter(x).items() if w in terms), 4) for k, x in words.items() if terms & set(x)}
+        want += [(q, k, v, n) for n, (k, v) in enumerate(sorted(scores.items(), key=lambda i: (-i[1], i[0]))[:4], 1)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_texts_are_scored_where_they_are(spark):
+    """No postings are shuffled or written: one exchange, of the best texts."""
+    docs = rel(spark, [(1, "a cat"), (2, "a dog")], "id int, text string")
+    found = similarity.categorize(rel(spark, [(1, "cat")], "qid int, text string"), "qid", similarity.index(docs, "id"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "parquet" not in plan.lower() and "SortMergeJoin" not in plan
+
+
+def test_texts_of_one_key_are_one_text(spark):
+    docs = rel(spark, [(1, "cat dog"), (1, "cat"), (2, "dog")], "id int, text string")
+    index = similarity.index(docs, "id")
+    assert sorted((r["id"], sorted(r["w"])) for r in index.collect()) == [(1, ["cat", "cat", "dog"]), (2, ["dog"])]
+    every = dict(map(tuple, similarity.term_weights(index).collect()))
+    assert every == dict(map(tuple, similarity.term_weights(index, terms=rel(spark, [("cat",), ("dog",), ("cow",)], "term string")).collect()))
+
+
 @pytest.fixture
 def triples(tmp_path):
     def write(name, lines):
