@@ -194,6 +194,19 @@ def test_texts_of_one_key_are_one_text(spark):
     assert every == dict(map(tuple, similarity.term_weights(index, terms=rel(spark, [("cat",), ("dog",), ("cow",)], "term string")).collect()))
 
 
+def test_items_are_made_distinct_before_they_are_collected(spark):
+    made = [("g", " b", 3), ("g", "a", 2), ("g", "b ", 1), ("g", "", 0), ("g", None, 0), ("h", "  ", 1), ("g", "a", 9)]
+    got = R.concat_grouped(rel(spark, made, "k string, v string, n int"), ["k"], "v", ["n"], "vs", "|")
+    assert rows(got) == [("g", "b|a"), ("h", "")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
+def test_texts_are_cut_before_they_are_shuffled(spark):
+    texts = R.aggregate_grouped(rel(spark, [("g", 1, "one"), ("g", 2, "two"), (None, 1, "x")], "k string, n int, t string"), ["k"], "t", ["n"], "body", "count")
+    assert rows(texts) == [("g", 2, "one two"), (None, 1, "x")] or sorted(map(tuple, texts.collect()), key=str) == sorted([("g", 2, "one two"), (None, 1, "x")], key=str)
+    assert "broadcast" in texts._jdf.queryExecution().analyzed().toString().lower()
+
+
 @pytest.fixture
 def triples(tmp_path):
     def write(name, lines):
