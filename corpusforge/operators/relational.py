@@ -129,8 +129,8 @@ def expand_paths(edges: DataFrame, roots: Column, levels: int, grounded: str) ->
 
     edges: node, parent and further columns of the node. `roots` tells which
     edges begin a path. A path is an array; `groundedPath` has those of its
-    nodes whose column `grounded` is not null. Edges and each level are
-    written once, for the levels after it and the union need them again.
+    nodes whose column `grounded` is not null. Edges and each level but the
+    last are written once, for the levels after it and the union need them again.
     """
     more = [c for c in edges.columns if c not in ("node", "parent")]
     edges = cut_lineage(edges)
@@ -139,7 +139,7 @@ def expand_paths(edges: DataFrame, roots: Column, levels: int, grounded: str) ->
     level = cut_lineage(level.withColumn("startsBare", F.col(grounded).isNull()))
     found = [level]
     down = edges.select(F.col("parent").alias("_up"), F.col("node").alias("_node"), *[F.col(c).alias(f"_{c}") for c in more])
-    for _ in range(levels - 1):
+    for n in range(2, levels + 1):
         joined = level.join(down, F.col("node") == F.col("_up"))
         longer = joined.select(
             F.col("_node").alias("node"),
@@ -148,6 +148,7 @@ def expand_paths(edges: DataFrame, roots: Column, levels: int, grounded: str) ->
             F.when(F.col(f"_{grounded}").isNull(), F.col("groundedPath")).otherwise(F.concat("groundedPath", F.array("_node"))).alias("groundedPath"),
             F.col("startsBare"),
         )
-        level = cut_lineage(longer.filter(path_has_no_loop("fullPath")))
+        level = longer.filter(path_has_no_loop("fullPath"))
+        level = cut_lineage(level) if n < levels else level
         found.append(level)
     return union_all(*found)
