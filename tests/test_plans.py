@@ -211,7 +211,9 @@ def test_last_level_of_paths_is_not_written(spark):
     edges = rel(spark, [("a", "root", "A"), ("b", "a", None), ("c", "b", "C")], "node string, parent string, article string")
     paths = R.expand_paths(edges, F.col("parent") == "root", 3, "article")
     assert rows(paths.select("node", F.array_join("fullPath", "/"), F.array_join("groundedPath", "/"))) == [("a", "a", "a"), ("b", "a/b", "a"), ("c", "a/b/c", "a/c")]
-    assert paths._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "_inner#" in plan  # leaves are joined with nothing
+    assert paths.columns == ["node", "article", "fullPath", "groundedPath", "startsBare"]
 
 
 @pytest.fixture
